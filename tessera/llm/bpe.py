@@ -37,8 +37,8 @@ from tessera.llm._common import text_udf
 BLOCK = 1 << 16
 #: Runs longer than this many characters are not kept in the memo.
 MEMO_RUN = 48
-#: Entries that the memo of one task holds before it starts anew.
-MEMO_LIMIT = 400_000
+#: Entries that each memo of one Python worker holds before it starts anew.
+MEMO_LIMIT = 200_000
 
 # White space of the Unicode property White_Space, and the
 # patterns and byte alphabet that tokenizer files of this kind refer to.
@@ -225,7 +225,7 @@ def composition_cut(text: str, most: int) -> int:
 
 
 class Encoder:
-    """Texts to ids. One encoder serves a task; its memo of short runs is bounded."""
+    """Texts to ids. One encoder serves a Python worker; its memo of short words is bounded."""
 
     def __init__(self, path: str):
         self.table = table_of(path)
@@ -363,49 +363,58 @@ class Decoder:
 
 def _digests(path: str):
     """Count and digests of ids and decoded text, without holding either whole."""
+    return lambda: _digest_function(path)
+
+
+@lru_cache(maxsize=1)
+def _digest_function(path: str):
+    """One a Python worker, so that its memos serve all tasks that the worker runs."""
+    encoder, decoder = Encoder(path), Decoder(path)
+    ids_of: dict[str, str] = {}
+    shown_of: dict[str, str] = {}
+    written = [str(i) for i in range(max(encoder.table.shown) + 1)]
+    long_runs: set[str] = set()
+
+    def learn(runs: set[str]) -> None:
+        if len(ids_of) + len(runs) > MEMO_LIMIT:
+            ids_of.clear()
+            shown_of.clear()
+        simple = {r: Encoder.simple_words(r) for r in runs if len(r) <= MEMO_RUN and "<" not in r}
+        encoder.learn(w for words in simple.values() for w in words)
+        for run in runs:
+            words = simple.get(run)
+            ids = encoder.run(run) if words is None else [i for w in words for i in encoder.word(w)]
+            ids_of[run] = " ".join([written[i] for i in ids])
+            shown_of[run] = decoder.shown(ids)
+        long_runs.update(r for r in runs if len(r) > MEMO_RUN)
+
+    def one(blocks: Iterable[list[str]]) -> dict:
+        n, gap = 0, b""
+        ids_sha, text_sha = hashlib.sha256(), hashlib.sha256()
+        for block in blocks:
+            if fresh := set(block).difference(ids_of):
+                learn(fresh if len(ids_of) + len(fresh) <= MEMO_LIMIT else set(block))
+            if block:
+                ids = " ".join(map(ids_of.__getitem__, block))
+                n += ids.count(" ") + 1
+                ids_sha.update(gap + ids.encode())
+                text_sha.update(gap + " ".join(map(shown_of.__getitem__, block)).encode())
+                gap = b" "
+        return {"n_tokens": n, "ids_sha256": ids_sha.hexdigest(), "decoded_sha256": text_sha.hexdigest()}
+
+    def slice_of(texts: list) -> list[dict]:
+        short = [t.split() for t in texts if t and len(t) <= BLOCK and not _SPLIT_DIFFERS.search(t)]
+        fresh = set().union(*short).difference(ids_of)  # learnt together: fewer, larger numpy calls
+        if fresh:
+            learn(fresh)
+        out = [one(Encoder.blocks(t or "")) for t in texts]
+        for run in long_runs:  # they served this slice only
+            ids_of.pop(run, None)
+            shown_of.pop(run, None)
+        long_runs.clear()
+        return out
 
-    def make():
-        encoder, decoder = Encoder(path), Decoder(path)
-        ids_of: dict[str, str] = {}
-        shown_of: dict[str, str] = {}
-        written = [str(i) for i in range(max(encoder.table.shown) + 1)]
-
-        def learn(runs: set[str]) -> None:
-            if len(ids_of) + len(runs) > MEMO_LIMIT:
-                ids_of.clear()
-                shown_of.clear()
-            simple = {r: Encoder.simple_words(r) for r in runs if len(r) <= MEMO_RUN and "<" not in r}
-            encoder.learn(w for words in simple.values() for w in words)
-            for run in runs:
-                words = simple.get(run)
-                ids = encoder.run(run) if words is None else [i for w in words for i in encoder.word(w)]
-                ids_of[run] = " ".join([written[i] for i in ids])
-                shown_of[run] = decoder.shown(ids)
-
-        def one(blocks: Iterable[list[str]]) -> dict:
-            n, gap = 0, b""
-            ids_sha, text_sha = hashlib.sha256(), hashlib.sha256()
-            for block in blocks:
-                if fresh := set(block).difference(ids_of):
-                    learn(fresh if len(ids_of) + len(fresh) <= MEMO_LIMIT else set(block))
-                if block:
-                    ids = " ".join(map(ids_of.__getitem__, block))
-                    n += ids.count(" ") + 1
-                    ids_sha.update(gap + ids.encode())
-                    text_sha.update(gap + " ".join(map(shown_of.__getitem__, block)).encode())
-                    gap = b" "
-            return {"n_tokens": n, "ids_sha256": ids_sha.hexdigest(), "decoded_sha256": text_sha.hexdigest()}
-
-        def slice_of(texts: list) -> list[dict]:
-            short = [t.split() for t in texts if t and len(t) <= BLOCK and not _SPLIT_DIFFERS.search(t)]
-            fresh = set().union(*short).difference(ids_of)  # learnt together: fewer, larger numpy calls
-            if fresh:
-                learn(fresh)
-            return [one(Encoder.blocks(t or "")) for t in texts]
-
-        return slice_of
-
-    return make
+    return slice_of
 
 
 DIGESTS = T.StructType(
