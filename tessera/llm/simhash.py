@@ -4,8 +4,7 @@ Fingerprints of 64 bits come from word shingles. Two fingerprints that differ in
 at most ``radius`` bits differ in at most ``radius // segments`` bits of one of
 the segments: so every fingerprint looks up, in a table per segment, the small
 Hamming ball around its own segment, and each match is verified on all 64 bits.
-Distinct fingerprints only are linked, so copies cost nothing; components come
-from label propagation with pointer jumping over the links.
+Distinct fingerprints only are linked, so copies cost nothing.
 
 Nulls and edge cases: a null or wordless text has fingerprint zero, which is
 linked like any other. A text with fewer words than a shingle is one shingle.
@@ -24,7 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm._common import new_path, remove, stored, text_udf
+from tessera.llm._common import stored, text_udf
+from tessera.operators.graph import components
 
 SEED = 42
 
@@ -89,43 +89,14 @@ def links(distinct: DataFrame, radius: int = 4, segments: int = 3) -> DataFrame:
     return found.select("u", "v").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(fp, root): each linked node with the smallest node of its component.
-
-    Labels spread to neighbours and then jump to their label's label, so the
-    rounds follow the logarithm of a component's width. Each round's labels are
-    a written table.
-    """
-    spark = edges.sparkSession
-    both = stored(edges.union(edges.select("v", "u")), "edges")
-    path = new_path(spark, "labels-0")
-    nearest = both.groupBy(F.col("u").alias("fp")).agg(F.min("v").alias("v"))
-    nearest.select("fp", F.least("fp", "v").alias("root")).write.parquet(path)
-    labels, at = spark.read.parquet(path), 0
-    while True:
-        seen = both.join(labels.select(F.col("fp").alias("v"), "root"), "v").groupBy("u").agg(F.min("root").alias("near"))
-        spread = labels.join(seen.withColumnRenamed("u", "fp"), "fp").select("fp", "root", F.least("root", "near").alias("low"))
-        up = labels.select(F.col("fp").alias("low"), F.col("root").alias("above"))
-        jumped = spread.join(up, "low").select("fp", F.least("low", "above").alias("root"), (F.least("low", "above") < F.col("root")).alias("moved"))
-        at += 1
-        after = new_path(spark, f"labels-{at}")
-        jumped.write.parquet(after)
-        written = spark.read.parquet(after)
-        going_on = bool(written.where("moved").limit(1).count())
-        remove(spark, path)
-        path, labels = after, written.drop("moved")
-        if not going_on:
-            return labels
-
-
 def near_duplicates(
     docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 4, radius: int = 4, segments: int = 3
 ) -> DataFrame:
     """(key, fp, component_id) of every row: the class is the smallest id that links lead to, its own included."""
     marked = stored(fingerprints(docs, key, text, words), "fingerprints")
     distinct = stored(marked.groupBy("fp").agg(F.min(key).alias("least")), "distinct")
-    edges = stored(links(distinct.select("fp"), radius, segments), "links")
-    rooted = distinct.join(components(edges), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = components(links(distinct.select("fp"), radius, segments), "u", "v").withColumnRenamed("node", "fp")
+    rooted = distinct.join(rooted, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = stored(rooted, "rooted")
     classes = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = stored(rooted.join(classes, "root").select("fp", "component_id"), "classes")
