@@ -21,6 +21,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +36,8 @@ from tessera.llm._common import text_udf
 SEGMENT_IDS = 1 << 21
 #: Every how many documents the select structure keeps a position.
 SAMPLE = 256
-#: Entries that the memo of one task holds before it starts anew.
-MEMO_LIMIT = 500_000
+#: Pieces of texts whose ids one Python worker keeps.
+MEMO_LIMIT = 250_000
 
 # Fixed values of the file format.
 MAGIC = b"TEF1"
@@ -111,11 +112,18 @@ class ChunkEncoder:
     """Ids of a text as bytes, with the tokenizers library.
 
     A byte-level tokenizer of this kind always ends a token before a single
-    space that stands beside a non-space; so a text is encoded in pieces that
-    begin at such spaces, and the ids of short pieces are kept.
+    space that stands between other characters, and on both sides of a lone full
+    stop, comma or line end between letters, digits and such spaces. So a text
+    is cut there, and the ids of the pieces seen first are kept. Pieces that are
+    new come to the library many at a time, as one text, whose tokens' lengths
+    tell them apart again. Texts where a cut would not be safe go to the library
+    whole.
     """
 
-    _unsure = re.compile(r"\s \s|^\s|\s$|<\|")
+    _odd_space = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\0]")
+    _marks = ("", ".", ",", "\n")
+    _unsafe = ("  ", "\n ", " \n", "<|")
+    _unsafe_marks = ("\n\n", " .", " ,", "..", ".,", ",.", ",,")
 
     def __init__(self, path: str, width: int):
         from tokenizers import Tokenizer
@@ -123,32 +131,72 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.kind = f"<u{width}"
-        self.memo: dict[str, bytes] = {}
+        self.kind = np.dtype(f"<u{width}")
+        vocabulary = self.tokenizer.get_vocab()
+        self.lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():  # one character of a token's written form is one byte
+            self.lengths[i] = len(token)
+        self.kept: dict[str, bytes] = {"": b""}
+        self.clean: set[str] = {""}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
+    def pieces(self, text: str) -> list[str] | None:
+        """The text cut before its single spaces, or None if that isn't safe."""
+        if not text or text[0] in " \n" or text[-1] in " \n" or any(x in text for x in self._unsafe) or self._odd_space.search(text):
+            return None
+        return text.replace(" ", "\0 ").split("\0")
+
+    def fine_pieces(self, text: str) -> list[str] | None:
+        """The text cut at its marks as well: fewer different pieces, if each turns out clean."""
+        if any(x in text for x in self._unsafe_marks) or text[0] in ".,":
+            return None
+        return text.replace(" ", "\0 ").replace("\n", "\0\n\0").replace(".", "\0.\0").replace(",", "\0,\0").split("\0")
+
+    def _clean(self, piece: str) -> bool:
+        """A mark, or letters and digits at both ends: then no mark beside it belongs to its tokens."""
+        core = piece[1:] if piece[:1] == " " else piece
+        return piece in self._marks or (core[:1].isalnum() and core[-1:].isalnum())
+
+    def _encode(self, pieces: list[str]) -> dict[str, bytes]:
+        spaced = [p if p[:1] == " " else None for p in pieces]
+        out = {p: self.whole(p) for p, s in zip(pieces, spaced) if s is None}
+        rest = [p for p in spaced if p is not None]
+        if rest:
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(rest)], add_special_tokens=False)[0].ids, self.kind)
+            ends = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum([len(p.encode()) for p in rest])) + 1
+            data, size = ids.tobytes(), self.kind.itemsize
+            cuts = [0, *(ends * size).tolist()]
+            out.update((p, data[a:b]) for p, a, b in zip(rest, cuts, cuts[1:]))
+        return out
+
     def texts(self, texts: list[str]) -> list[bytes]:
-        split = [None if self._unsure.search(t) else t.split(" ") for t in texts]
-        # the first piece has no space before it and is encoded as it stands, under a key that no piece has
-        keyed = [None if p is None else [f" {p[0]}", *p[1:]] for p in split]
-        fresh = set().union(*(k for k in keyed if k)).difference(self.memo)
-        if len(self.memo) + len(fresh) > MEMO_LIMIT:
-            self.memo.clear()
-            fresh = set().union(*(k for k in keyed if k))
-        if fresh:
-            order = list(fresh)
-            found = self.tokenizer.encode_batch_fast([k[1:] if k[:1] == " " else f" {k}" for k in order], add_special_tokens=False)
-            self.memo.update((k, np.array(e.ids, self.kind).tobytes()) for k, e in zip(order, found))
-        return [self.whole(t) if k is None else b"".join(map(self.memo.__getitem__, k)) for t, k in zip(texts, keyed)]
+        cut = [self.pieces(t) for t in texts]
+        fine = [None if c is None else self.fine_pieces(t) for t, c in zip(texts, cut)]
+        odd = {p for p in set().union(*(f for f in fine if f)).difference(self.clean) if not self._clean(p)}
+        chosen = [c if f is None or not odd.isdisjoint(f) else f for c, f in zip(cut, fine)]
+        new = self._encode(list(set().union(*(c for c in chosen if c)).difference(self.kept)))
+        if len(self.kept) + len(new) <= MEMO_LIMIT:
+            self.kept.update(new)
+            self.clean.update(p for p in new if self._clean(p))
+            new = {}
+        kept = self.kept
+        of = (lambda p: kept[p] if p in kept else new[p]) if new else kept.__getitem__
+        return [self.whole(t) if c is None else b"".join(map(of, c)) for t, c in zip(texts, chosen)]
+
+
+@lru_cache(maxsize=1)
+def chunk_encoder(path: str, width: int) -> ChunkEncoder:
+    """One a Python worker, so that its memo serves all tasks that the worker runs."""
+    return ChunkEncoder(path, width)
 
 
 def encoded(docs: DataFrame, path: str, key: str, text: str, end_id: int, width: int) -> DataFrame:
     """(key, ids): the ids of each text and the end id, as little-endian bytes of ``width``."""
 
     def make():
-        encoder, end = ChunkEncoder(path, width), np.array([end_id], f"<u{width}").tobytes()
+        encoder, end = chunk_encoder(path, width), np.array([end_id], f"<u{width}").tobytes()
         return lambda texts: [ids + end for ids in encoder.texts([t or "" for t in texts])]
 
     return docs.select(F.col(key), text_udf(make, T.BinaryType())(F.col(text)).alias("ids"))
