@@ -6,8 +6,8 @@ shared by all thresholds: P(grade >= k) = sigmoid(w.x - t_k), t_1 < t_2 < ...;
 the expected severity is the sum of these over k.
 
 The labels mark toxic or not; the severity grades of toxic training rows are
-taken from the density of tell-tale features: grade 1 up to the median density
-of the toxic rows, grade 2 above. Real grades may be given instead.
+taken from the occurrences of tell-tale features: grade 1 up to the median of
+the toxic rows, grade 2 above. Real grades may be given instead.
 
 A model is fitted on a bounded sample of labelled rows, chosen by a hash of the
 key, less near copies (rows that share the least hash of their 3-word shingles):
@@ -120,7 +120,7 @@ def _tell_tale(rows: DataFrame) -> list[bytes]:
     return [f for _, f in sorted(good, key=lambda x: (-x[0], x[1]))[:FEATURES]]
 
 
-def solve(matrix: list[list[tuple[int, float]]], grades: np.ndarray, n: int, ridge: float = 1e-3, rounds: int = 400) -> tuple[np.ndarray, np.ndarray]:
+def solve(matrix: list[list[tuple[int, float]]], grades: np.ndarray, n: int, ridge: float = 1e-5, rounds: int = 600) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds of least ridge-penalised cumulative-link loss, by Adam steps on the whole sample."""
     k = int(grades.max())
     row = np.repeat(np.arange(len(matrix)), [len(r) for r in matrix])
@@ -177,18 +177,17 @@ def fit(
         model = shared.value
 
         def one(text):
-            words = words_of(text)
-            found = sorted((place[f], n) for f, n in model.counts(words).items())
-            return {"f": [i for i, _ in found], "n": [n for _, n in found], "words": len(words)}
+            found = sorted((place[f], n) for f, n in model.counts(words_of(text)).items())
+            return {"f": [i for i, _ in found], "n": [n for _, n in found]}
 
         return lambda texts: [one(t) for t in texts]
 
-    kind = T.StructType([T.StructField("f", T.ArrayType(T.IntegerType())), T.StructField("n", T.ArrayType(T.IntegerType())), T.StructField("words", T.IntegerType())])
+    kind = T.StructType([T.StructField("f", T.ArrayType(T.IntegerType())), T.StructField("n", T.ArrayType(T.IntegerType()))])
     found = rows.select("k", "grade", text_udf(sparse, kind)("text").alias("x")).orderBy("k").collect()  # bounded by the sample
     grades = np.array([r["grade"] for r in found])
     if grade is None:
-        density = np.array([sum(r["x"]["n"]) / max(1, r["x"]["words"]) for r in found])
-        grades = np.where(grades > 0, 1 + (density > np.median(density[grades > 0])), 0)
+        hits = np.array([sum(r["x"]["n"]) for r in found])
+        grades = np.where(grades > 0, 1 + (hits > np.median(hits[grades > 0])), 0)
     matrix = [[(f, float(np.log1p(n))) for f, n in zip(r["x"]["f"], r["x"]["n"])] for r in found]
     weights, thresholds = solve(matrix, grades, len(names))
     return Model({f: float(w) for f, w in zip(names, weights) if abs(w) > 1e-3}, thresholds.tolist())
