@@ -115,7 +115,7 @@ class ItemIndex:
             for b in bands[counts >= need]:
                 low = int(b) * 2 * step - shift - len(target)
                 start = max(0, low - k)
-                best = align(target, data[start : low + 2 * step + len(target) + k], 2 * step + 2 * k + 1)
+                best = align(target, data[start : low + 2 * step + len(target) + k], 2 * step + 3 * k + 1, k)
                 if best is not None and best[2] <= k:
                     found.append((start + best[0], start + best[1], best[2]))
         found.sort(key=lambda m: (m[2], m[0], m[1]))
@@ -126,11 +126,12 @@ class ItemIndex:
         return sorted(kept)
 
 
-def align(item: bytes, text: bytes, width: int) -> tuple[int, int, int] | None:
-    """(start, end, edits) of the best place of ``item`` in ``text``, which begins at one of ``width`` offsets.
+def align(item: bytes, text: bytes, width: int, below: int = 0) -> tuple[int, int, int] | None:
+    """(start, end, edits) of the best place of ``item`` in ``text``, within ``width`` diagonals.
 
     Cell (i, d) is the item's first i bytes against the text up to i + d: a band
-    of ``width`` diagonals, one numpy row for each byte of the item.
+    of diagonals from ``-below`` on, one numpy row for each byte of the item.
+    Diagonals under 0 serve places at the text's start that lack bytes of the item.
     """
     at = text.find(item)
     if at >= 0:
@@ -138,27 +139,28 @@ def align(item: bytes, text: bytes, width: int) -> tuple[int, int, int] | None:
     n = len(item)
     if not text:
         return None
-    far = n + len(text) + 1
+    far = n + len(text) + width + 1
     letters = np.frombuffer(text, np.uint8)
-    diagonals = np.arange(width)
-    cost = np.where(diagonals <= len(text), 0, far)
+    places, diagonals = np.arange(width), np.arange(width) - below
+    cost = np.where((diagonals >= 0) & (diagonals <= len(text)), 0, far)
     start = diagonals.copy()
     for i in range(1, n + 1):
         end = i + diagonals
-        inside = end <= len(text)
+        inside = (end >= 0) & (end <= len(text))
         same = np.zeros(width, bool)
-        same[inside] = letters[end[inside] - 1] == item[i - 1]
+        on = inside & (end >= 1)
+        same[on] = letters[end[on] - 1] == item[i - 1]
+        swap = np.where(end >= 1, cost + ~same, far)
         over = np.r_[cost[1:], far] + 1  # a byte of the item without a partner
-        swap = cost + ~same
         value = np.where(inside, np.minimum(swap, over), far)
         begin = np.where(swap <= over, start, np.r_[start[1:], 0])
         # a byte of the text without a partner: a running minimum along the row
         ranked = value - diagonals
         least = np.minimum.accumulate(ranked)
-        source = np.maximum.accumulate(np.where(ranked == least, diagonals, 0))
+        source = np.maximum.accumulate(np.where(ranked == least, places, 0))
         cost, start = np.where(inside, least + diagonals, far), begin[source]
     best = int(np.argmin(cost))
-    return (int(start[best]), n + best, int(cost[best])) if cost[best] < far else None
+    return (int(start[best]), n + int(diagonals[best]), int(cost[best])) if cost[best] < far else None
 
 
 def _blocks(items: DataFrame, item_key: str, text: str) -> Iterator[list[tuple[object, bytes]]]:
