@@ -1,10 +1,11 @@
-"""Language identification: multinomial naive Bayes over hashed n-grams of bytes.
+"""Language identification: multinomial naive Bayes over hashed character n-grams.
 
-A text is lowered, ASCII characters other than letters become spaces, and every
-window of one to four UTF-8 bytes is hashed to one of ``BUCKETS``. Training sums
-the buckets' counts by language in Spark; the matrix of log probabilities
-(buckets x languages, a fixed number of bytes a language) is broadcast, and
-batches of texts are scored by gathering its rows and adding them up.
+A text is lowered, ASCII characters other than letters become single spaces, and
+every window of two to four characters is hashed to one of ``BUCKETS``. Training
+sums the buckets' counts by language in Spark; the matrix of log probabilities
+(buckets x languages, a fixed number of bytes a language) is broadcast, and the
+texts of a batch are scored together as the rows of one sparse matrix: the
+batch's buckets gather rows of log probabilities, which are added up by text.
 
 Nulls and edge cases: a null text or one without a letter is ``und`` with score
 0. Ties go to the language that sorts first. Without a training row everything
@@ -14,6 +15,8 @@ Repeated rows and other columns stay as they are.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,33 +29,58 @@ BUCKETS = 1 << 16
 TRAIN_ROWS = 4000
 UNKNOWN = "und"
 
-_LETTERS = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
+#: Buckets that scoring gathers at once; bounds its memory beside long texts.
+GATHERED = 1 << 16
+
+#: ASCII characters by code: letters stay, all others become spaces; the last entry stands for the rest.
+_KEPT = np.array([*(c if chr(c).isalpha() else 32 for c in range(128)), 0], np.uint32)
 
 
 def hashed(text: str) -> np.ndarray:
-    """Buckets of all windows of two to four bytes; windows of spaces only are left out."""
-    data = np.frombuffer(b" ".join(text.lower().encode("utf-8", "replace").translate(_LETTERS).split()).join((b" ", b" ")), np.uint8).astype(np.uint32)
-    two = data[:-1] << 8 | data[1:]
-    three = two[:-1] * np.uint32(0x9E3779B1) + data[2:] * np.uint32(0x85EBCA6B)
-    four = three[:-1] * np.uint32(0xC2B2AE35) + data[3:] * np.uint32(0x27D4EB2F)
-    return np.concatenate([two * np.uint32(0x2C1B3C6D) >> 16, three >> 16, four >> 16])
+    """Buckets of all windows of two to four characters."""
+    codes = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), "<u4")
+    codes = np.where(codes < 128, _KEPT[np.minimum(codes, 128)], codes).astype(np.uint32)
+    codes = codes[np.r_[True, (codes[1:] != 32) | (codes[:-1] != 32)]]
+    two = codes[:-1] * np.uint32(0x9E3779B1) ^ codes[1:]
+    three = two[:-1] * np.uint32(0x85EBCA6B) ^ codes[2:]
+    four = three[:-1] * np.uint32(0xC2B2AE35) ^ codes[3:]
+    return np.concatenate([grams * np.uint32(0x27D4EB2F) >> 16 for grams in (two, three, four)])
 
 
 class Model:
     def __init__(self, languages: list[str], log_probability: np.ndarray, prior: np.ndarray):
         self.languages, self.log_probability, self.prior = languages, log_probability, prior
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        if not self.languages or text is None or not any(map(str.isalpha, text)):
-            return UNKNOWN, 0.0
-        buckets = hashed(text)
-        total = np.zeros(len(self.languages))
-        for at in range(0, len(buckets), 1 << 16):
-            total += self.log_probability[buckets[at : at + (1 << 16)]].sum(0, dtype=np.float64)
-        # windows overlap and depend on each other: temper their sum so that scores say something
-        logit = total / max(1.0, len(buckets) ** 0.5) + self.prior
-        best = int(np.argmax(logit))
-        return self.languages[best], float(1 / np.exp(logit - logit[best]).sum())
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """(language, score) of each text of a batch."""
+        out = [(UNKNOWN, 0.0)] * len(texts)
+        rows = [i for i, t in enumerate(texts) if self.languages and t is not None and any(map(str.isalpha, t))]
+        for a, b, total, sizes in self._totals([texts[i] for i in rows]):
+            # windows overlap and depend on each other: temper their sum so that scores say something
+            logit = total / np.sqrt(sizes)[:, None] + self.prior
+            best = logit.argmax(1)
+            score = 1 / np.exp(logit - logit.max(1, keepdims=True)).sum(1)
+            for i, k, p in zip(rows[a:b], best.tolist(), score.tolist()):
+                out[i] = (self.languages[k], p)
+        return out
+
+    def _totals(self, texts: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """Sums of log probabilities of texts a to b, and their windows; a longer text than GATHERED is summed in parts."""
+        at, held, size = 0, [], 0
+        for i, text in enumerate(texts):
+            held.append(hashed(text))
+            size += len(held[-1])
+            if size >= GATHERED or i + 1 == len(texts):
+                sizes = np.array([len(x) for x in held])
+                buckets, ends = np.concatenate(held), np.cumsum(sizes)
+                total = np.zeros((len(held), len(self.languages)))
+                for lo in range(0, len(buckets), GATHERED):
+                    hi = min(lo + GATHERED, len(buckets))
+                    first, last = np.searchsorted(ends, [lo, hi - 1], "right")
+                    starts = np.maximum(np.r_[0, ends][first : last + 1] - lo, 0)
+                    total[first : last + 1] += np.add.reduceat(self.log_probability[buckets[lo:hi]], starts, axis=0, dtype=np.float64)
+                yield at, i + 1, total, sizes
+                at, held, size = i + 1, [], 0
 
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", at_most: int = TRAIN_ROWS) -> Model:
@@ -87,7 +115,7 @@ def predicted(docs: DataFrame, model: Model, text: str = "text", out: str = "lan
 
     def make():
         model = shared.value
-        return lambda texts: [dict(zip(("lang_pred", "score"), model.predict(t))) for t in texts]
+        return lambda texts: [{"lang_pred": name, "score": p} for name, p in model.predict(texts)]
 
     kind = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return docs.withColumn(out, text_udf(make, kind)(F.col(text)))
