@@ -68,10 +68,10 @@ class Rollup:
         return self._exists(f"{self.path}/batch={batch}/_SUCCESS")
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
-        """Add a batch; False if it was there already. The rows of one batch are few: one a group."""
+        """Add a batch; False if it was there already."""
         if self.committed(batch):
             return False
-        deltas(changes).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+        deltas(changes).write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
         return True
 
     def totals(self) -> DataFrame:
