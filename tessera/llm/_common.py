@@ -79,11 +79,11 @@ def unit_hash(*keys: str) -> Column:
 def bounded_sample(rows: DataFrame, key: str, at_most: int, by: str | None = None) -> DataFrame:
     """About ``at_most`` rows (of each value of ``by``), chosen by a hash of the key.
 
-    All rows are taken where there are fewer. Callers pass key columns only and
-    join the wide columns afterwards.
+    All rows are taken where there are fewer. ``by`` has few values, as the labels
+    of a model do: their counts are broadcast, so that no row is shuffled.
     """
     if by is None:
         total = rows.count()
         return rows.where(unit_hash(key) < at_most / max(total, 1))
     counts = rows.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
-    return rows.join(counts, by).where(unit_hash(key) * F.col("_n") < at_most).drop("_n")
+    return rows.join(F.broadcast(counts), by).where(unit_hash(key) * F.col("_n") < at_most).drop("_n")

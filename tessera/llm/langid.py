@@ -86,7 +86,7 @@ class Model:
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", at_most: int = TRAIN_ROWS) -> Model:
     """Fit on the labelled rows, on about ``at_most`` of each language chosen by a hash of the key."""
     rows = docs.select(F.col(key).alias("k"), F.col(lang).alias("lang"), F.col(text).alias("text")).where("k is not null and lang is not null")
-    chosen = bounded_sample(rows.select("k", "lang"), "k", at_most, "lang")
+    chosen = bounded_sample(rows, "k", at_most, "lang")
 
     def make():
         def counts(text):
@@ -96,8 +96,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
         return lambda texts: [counts(t) for t in texts]
 
     kind = T.ArrayType(T.StructType([T.StructField("b", T.IntegerType()), T.StructField("n", T.LongType())]))
-    wide = rows.join(chosen, ["k", "lang"], "left_semi")
-    counted = wide.select("lang", F.explode(text_udf(make, kind)("text")).alias("c")).groupBy("lang", "c.b").agg(F.sum("c.n").alias("n"))
+    counted = chosen.select("lang", F.explode(text_udf(make, kind)("text")).alias("c")).groupBy("lang", "c.b").agg(F.sum("c.n").alias("n"))
     found = counted.toPandas()  # at most BUCKETS rows a language
     sizes = {r["lang"]: r["count"] for r in chosen.groupBy("lang").count().collect()}
     languages = sorted(sizes)
