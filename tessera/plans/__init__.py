@@ -1 +1,3 @@
-"""Registered queries and their SQL."""
+"""Registered queries."""
+
+from tessera.plans import queries, upkeep_queries  # noqa: F401
