@@ -109,7 +109,11 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", **opt
     Rows that repeat that id are copies and one stays. Rows with a null id can't
     be told apart by it and stay.
     """
-    classes = near_duplicates(docs, key, text, **options)
+    return first_rows(docs, near_duplicates(docs, key, text, **options), key)
+
+
+def first_rows(docs: DataFrame, classes: DataFrame, key: str) -> DataFrame:
+    """The rows of ``docs`` whose ``key`` is its class's ``component_id``, one each, and those with a null key."""
     kept = classes.where(F.col(key) == F.col("component_id")).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     kept = stored(kept, "kept")
     alone = docs.join(kept.where("_n = 1").select(key), key, "left_semi")

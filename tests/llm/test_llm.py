@@ -4,13 +4,14 @@ import hashlib
 import random
 import zlib
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat, decontam, langid, quality, queries, rollup, simhash, tokenfile, toxicity, vptree
+from tessera.llm import bpe, chat, decontam, langid, nearcopies, quality, queries, rollup, simhash, tokenfile, toxicity, vptree
 
 SF = "/root/testdata/sf0.001"
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
@@ -132,6 +133,58 @@ def test_simhash_odd_rows(odd, empty):
     assert simhash.near_duplicates(empty).count() == 0 and simhash.deduplicated(empty).count() == 0
 
 
+# Near copies
+
+
+def _jaccard_classes(texts, words=5, least=0.8):
+    """{id: smallest id of its class} by all pairs of exact shingle sets."""
+    sets = {}
+    for d, text in texts.items():
+        found = (text or "").encode().lower().split()
+        sets[d] = frozenset(b" ".join(found[i : i + words]) for i in range(max(1, len(found) - words + 1))) if found else frozenset()
+    root = {d: d for d in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(sets)
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            one, two = sets[a], sets[b]
+            if one == two or (one and two and len(one & two) >= least * len(one | two)):
+                ra, rb = find(a), find(b)
+                root[max(ra, rb)] = min(ra, rb)
+    return {d: find(d) for d in ids}
+
+
+def test_near_copies_against_all_pairs(spark, docs, monkeypatch):
+    rng, texts = random.Random(8), {r["doc_id"]: r["text"] for r in docs.limit(60).collect()}
+    for d in range(25):
+        base = [f"w{rng.randrange(4000)}" for _ in range(rng.randint(30, 300))]
+        for copy in range(5):
+            words = list(base)
+            for at in rng.sample(range(len(words)), copy * len(words) // 100):
+                words[at] = "edited"
+            texts[10_000 + 10 * d + copy] = " ".join(words)
+    wanted = _jaccard_classes(texts)
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, rows, SF).collect()}
+    assert kept == set(wanted.values())
+    assert simhash.deduplicated(rows).count() > len(kept)  # a small radius misses near copies
+    monkeypatch.setattr(nearcopies, "TILE", 2)  # most buckets are dealt into tiles
+    assert {r["doc_id"]: r["component_id"] for r in nearcopies.near_copies(rows).collect()} == wanted
+
+
+def test_near_copies_odd_rows(odd, empty):
+    kept = nearcopies.deduplicated(odd)
+    assert kept.columns == odd.columns
+    assert sorted(r["doc_id"] for r in kept.where("doc_id is not null").collect()) == [1, 3, 4, 5, 7]
+    assert kept.where("doc_id is null").count() == 1
+    assert nearcopies.near_copies(empty).count() == 0 and nearcopies.deduplicated(empty).count() == 0
+
+
 # Decontamination
 
 
