@@ -6,6 +6,10 @@ channels and roles, suppliers' lines their conflicts.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -85,8 +89,30 @@ DERIVED = {
 }
 
 
+# The derived tables that leave ids out, without that filter.
+WHOLE = {name: (DERIVED[name][0], DERIVED[name][1].rpartition(" WHERE ")[0]) for name in ("roles", "observations")}
+_from = ContextVar("derived tables", default=DERIVED)
+
+
+@contextmanager
+def whole() -> Iterator[None]:
+    """Inside, derived() reads every row of its source."""
+    token = _from.set(DERIVED | WHOLE)
+    try:
+        yield
+    finally:
+        _from.reset(token)
+
+
+def whole_sql(sql: str) -> str:
+    """A query's SQL over the whole tables."""
+    for name, (_, text) in WHOLE.items():
+        sql = sql.replace(DERIVED[name][1], text)
+    return sql
+
+
 def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    source, sql = DERIVED[name]
+    source, sql = _from.get()[name]
     return spark.sql(sql.replace(f"FROM {source}", "FROM {src}"), src=read(spark, sf_dir, source))
 
 

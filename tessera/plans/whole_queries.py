@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text
 from tessera.operators import resolution
-from tessera.plans.queries import SQL, query
-from tessera.plans.tables import read
+from tessera.plans.queries import QUERIES, SQL, query
+from tessera.plans.tables import read, whole, whole_sql
 
 
 @query(SQL["trigram_top_k"].replace(" WHERE p_partkey % 4 < 2", ""))
@@ -16,3 +16,18 @@ def trigram_top_k_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 8 most similar names of each name of the whole table: the limit is the feature."""
     names = read(spark, sf_dir, "part").select(text.norm_text(F.col("p_name")).alias("k")).distinct()
     return resolution.similar_names(names, names, "k", "k", least=0.5, k=8)
+
+
+def _all(name: str) -> None:
+    """Register a query once more, over all orders and events."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        with whole():
+            return QUERIES[name](spark, sf_dir)
+
+    run.__name__ = f"{name}_all"
+    query(whole_sql(SQL[name]) if name in SQL else None)(run)
+
+
+for _name in [n for n, sql in SQL.items() if whole_sql(sql) != sql]:
+    _all(_name)
