@@ -52,6 +52,8 @@ class Tree:
         starts = np.flatnonzero(first)
         self.ids, self.begin, self.end = ids, starts, np.r_[starts[1:], len(ids)]
         self.vectors = vectors[starts]
+        #: Of each entry, its smallest id, and whether it has no other.
+        self.least, self.alone = ids[starts], ids[starts] == ids[self.end - 1]
         x = self.vectors.astype(np.float64)
         lifted = np.c_[x, np.sqrt(np.maximum(0.0, top - (x * x).sum(1)))]
         #: lo, hi, row of the vantage point, its vector; then the children and their distance ranges.
@@ -87,9 +89,14 @@ class Tree:
         lifted = np.c_[q, np.zeros(n)]
         x = self.vectors.astype(np.float64)
         slack = 1e-9 * (1 + top + np.sqrt(square * top))
-        best = np.full((n, k + 1), -np.inf)  # one more than k: the query itself may be among them
+        best = np.full((n, k + 1), -np.inf)
         kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
+        def scored(active: np.ndarray, rows: np.ndarray) -> np.ndarray:
+            """Inner products; entries that hold the query's id only are no candidates and give no bound."""
+            own = self.alone[rows] & (ids[active][:, None] == self.least[rows])
+            return np.where(own, -np.inf, q[active] @ x[rows].T)
+
         def distance() -> np.ndarray:
             return np.sqrt(np.maximum(0.0, square + top - 2 * best[:, 0])) + slack
 
@@ -99,7 +106,7 @@ class Tree:
             if not len(active):
                 return
             if inner is None:
-                scores = q[active] @ x[self.order[lo:hi]].T
+                scores = scored(active, self.order[lo:hi])
                 if scores.shape[1] > k:
                     best[active] = np.partition(scores, scores.shape[1] - k - 1, axis=1)[:, -k - 1 :]
                     best[active, 0] = best[active].min(1)
@@ -114,7 +121,7 @@ class Tree:
             lo, hi, inner = self.nodes[node]
             if inner is None:
                 rows = self.order[lo:hi]
-                scores = q[active] @ x[rows].T
+                scores = scored(active, rows)
                 take, column = np.nonzero(scores >= (best[active, 0] - slack[active])[:, None])
                 if len(take):
                     kept.append((active[take], rows[column], scores[take, column]))
@@ -146,7 +153,8 @@ class Tree:
             rows = order[a:b]
             own = ids[who[rows[0]]]
             # of one tree entry only the k smallest ids other than the query's can be among its k nearest
-            pairs = [(-exact[r], int(i)) for r in rows for i in self.ids[self.begin[row[r]] : min(self.end[row[r]], self.begin[row[r]] + k + 1)] if i != own]
+            others = ((r, self.ids[self.begin[row[r]] : self.end[row[r]]]) for r in rows)
+            pairs = [(-exact[r], int(i)) for r, held in others for i in held[held != own][:k]]
             for negative, i in sorted(pairs)[:k]:
                 yield int(who[rows[0]]), i, float(-negative)
 

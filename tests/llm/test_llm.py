@@ -349,6 +349,22 @@ def test_nearest_against_brute_force(spark, monkeypatch):
     assert len(exact & {(r["query_id"], r["vec_id"]) for r in relaxed.collect()}) >= 0.9 * len(exact)
 
 
+def test_nearest_where_query_ids_repeat(monkeypatch):
+    """A query's own rows neither tighten its bound nor hide tied ids."""
+    monkeypatch.setattr(vptree, "LEAF", 4)
+    rng, k = np.random.default_rng(11), 5
+    vectors = rng.normal(size=(80, 3)).astype(np.float32)
+    # id 0 has 12 differing vectors near the query and 9 rows of one that other ids have too
+    ids = np.r_[np.zeros(12, np.int64), np.arange(1, 69)]
+    vectors[:12] = np.float32([3.0, 3.0, 3.0]) + vectors[:12] / 10
+    ids, vectors = np.r_[ids, np.zeros(9, np.int64), np.arange(100, 108)], np.r_[vectors, np.tile(np.float32([2.9, 2.9, 2.9]), (17, 1))]
+    top = float((vectors.astype(np.float64) ** 2).sum(1).max()) * (1 + 1e-12)
+    found = [f[1:] for f in vptree.Tree(ids, vectors, top).search(np.array([0]), vectors[:1], k, 1.0, top)]
+    scores = vectors.astype(np.float64) @ vectors[0].astype(np.float64)
+    wanted = sorted((-s, i) for s, i in zip(scores, ids.tolist()) if i)[:k]
+    assert [i for i, _ in found] == [i for _, i in wanted] == [100, 101, 102, 103, 104]
+
+
 def test_nearest_small_tables(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert vptree.nearest(empty, F.col("vec_id") % 5 == 0).count() == 0
