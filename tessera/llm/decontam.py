@@ -1,26 +1,33 @@
 """Benchmark decontamination by the q-gram lemma.
 
-A passage that matches an item of m characters with at most k edits shares at
-least m - q + 1 - k * q of its q-grams with it, all within k diagonals. Texts
-and items are brought to one form (lower case, single spaces, UTF-8), shared
-q-grams are counted in diagonal bands of width 2(k + 1) that overlap by half, so
-any k + 1 diagonals lie in one band, and each region that keeps the count is
-verified by an edit-distance alignment inside its band. Lengths, positions and
-edits count bytes of that form.
+A passage that matches an item of m characters with at most k edits keeps all
+but k * q of the item's m - q + 1 places of q-grams, within k + 1 adjacent
+diagonals. An edit spoils only one of several places that don't overlap, so of
+any k + 1 such places one is kept: each item is found by its rarest ones, and a
+stem that many items share doesn't crowd the search. Diagonals are cut into bands of width 2(k + 1) that overlap by half, so any k + 1 of them lie in
+one band. In each band that a rare place leads to, all shared places of the
+item are counted; a region that keeps the lemma's count, m - q + 1 - k * q, is
+verified by an edit-distance alignment inside its band. Texts and items are
+brought to one form first (lower case, single spaces, UTF-8): lengths,
+positions and edits count bytes of that form.
+
+A match is the best place of an item in a region, fewest edits first, then the
+earliest; of places of one item that overlap, only the best is a match.
 
 The items go to the tasks as an index of bounded size: the table is cut into
 blocks of at most ``BLOCK_BYTES`` of text, and each block is one pass over the
-documents, whatever the table's size.
+documents, whatever the table's size. Items of one text share an entry.
 
 Nulls and edge cases: null or empty texts match nothing, and null or empty items
-are not searched. Items shorter than MIN_ITEM bytes, for which the lemma's count
-would be too small to filter, are looked for exactly. Repeated rows each give
-their matches; repeated items too. Empty tables give an empty result. Only the
-named columns are read.
+are not searched. Items shorter than a q-gram are looked for exactly. Repeated
+rows each give their matches; repeated items too. Empty tables give an empty
+result. Only the named columns are read. An item key named like the document's
+key comes out as ``item_`` and that name.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,11 +40,11 @@ from tessera.llm._common import text_udf
 Q = 8
 #: Edits allowed, as a part of the item's length.
 EDIT_RATE = 0.05
-#: Under this length an item is looked for exactly.
-MIN_ITEM = 40
 #: Text of the items that one pass holds in a task.
 BLOCK_BYTES = 4 << 20
 FILTER_BITS = 22
+#: Hits of rare places that are held at once, about, and places of a text that are looked up at once.
+HITS, PLACES = 1 << 20, 1 << 16
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -53,21 +60,31 @@ def grams(data: bytes) -> np.ndarray:
 
 
 def budget(length: int, rate: float) -> int:
-    """Edits allowed for an item, kept low enough for the lemma's count to filter."""
-    return 0 if length < MIN_ITEM else min(int(length * rate), (length - Q + 1) // (2 * Q))
+    """Edits allowed for an item; a rate above 1 / Q is held where the lemma still leaves one place."""
+    return min(int(length * rate), max(0, (length - Q) // Q))
 
 
 class ItemIndex:
-    """Q-grams of one block of items, and a bit filter over them."""
+    """The rarest q-grams of each of a block's items, and a bit filter over them."""
 
     def __init__(self, items: list[tuple[object, bytes]], rate: float):
-        self.items, self.rate = items, rate
-        found = [grams(data) for _, data in items]
-        self.item = np.repeat(np.arange(len(items)), [len(g) for g in found])
-        self.place = np.concatenate([np.arange(len(g)) for g in found] or [np.zeros(0, int)])
+        names: dict[bytes, list] = {}
+        for key, data in items:
+            names.setdefault(data, []).append(key)
+        self.texts, self.names = list(names), list(names.values())
+        self.edits = np.array([budget(len(t), rate) for t in self.texts], np.int64)
+        self.lengths = np.array([len(t) for t in self.texts], np.int64)
+        found = [grams(t) for t in self.texts]
+        item = np.repeat(np.arange(len(found), dtype=np.int32), [len(g) for g in found])
+        place = np.concatenate([np.arange(len(g), dtype=np.int32) for g in found] or [np.zeros(0, np.int32)])
         keys = np.concatenate(found or [np.zeros(0, np.uint64)])
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.item, self.place = keys[order], self.item[order], self.place[order]
+        _, which, uses = np.unique(keys, return_inverse=True, return_counts=True)
+        order = np.lexsort((place, uses[which], item))
+        bounds = np.searchsorted(item[order], np.arange(len(found) + 1))
+        chosen = [order[a + _rarest(place[order[a:b]], k)] for a, b, k in zip(bounds, bounds[1:], self.edits.tolist())]
+        rare = np.concatenate(chosen or [np.zeros(0, np.int64)])
+        rare = rare[np.argsort(keys[rare], kind="stable")]
+        self.keys, self.item, self.place = keys[rare], item[rare], place[rare]
         self.filter = np.zeros(1 << FILTER_BITS, bool)
         self.filter[self._slot(self.keys)] = True
 
@@ -75,55 +92,92 @@ class ItemIndex:
     def _slot(keys: np.ndarray) -> np.ndarray:
         return (keys * _MIX) >> np.uint64(64 - FILTER_BITS)
 
-    def hits(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(position in the text, item, position in the item) of all shared q-grams."""
-        keys = grams(data)
-        at = np.flatnonzero(self.filter[self._slot(keys)])
-        keys = keys[at]
-        low, high = np.searchsorted(self.keys, keys, "left"), np.searchsorted(self.keys, keys, "right")
-        n = high - low
-        at, low = np.repeat(at, n), np.repeat(low, n)
-        slot = low + np.arange(len(low)) - np.repeat(np.cumsum(n) - n, n)
-        return at, self.item[slot], self.place[slot]
+    def bands(self, keys: np.ndarray) -> np.ndarray:
+        """(item, shift, band) rows, each once: the bands of a text's diagonals that a rare place of an item leads to."""
+        out = [np.zeros((0, 3), np.int64)]
+        for base in range(0, len(keys), PLACES):
+            part = keys[base : base + PLACES]
+            at = np.flatnonzero(self.filter[self._slot(part)])
+            low, high = np.searchsorted(self.keys, part[at], "left"), np.searchsorted(self.keys, part[at], "right")
+            n = high - low
+            at, low, n = at[n > 0] + base, low[n > 0], n[n > 0]
+            total = np.cumsum(n)
+            cuts = np.r_[0, np.searchsorted(total, np.arange(HITS, int(total[-1]) + HITS, HITS), "left") + 1] if len(n) else []
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                size = n[a:b]
+                slot = np.repeat(low[a:b], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                item = self.item[slot].astype(np.int64)
+                diagonal = np.repeat(at[a:b], size) - self.place[slot] + self.lengths[item]
+                step = self.edits[item] + 1
+                out += [np.unique(np.stack([item, np.full(len(item), s), (diagonal + s * step) // (2 * step)], 1), axis=0) for s in (0, 1)]
+        return np.unique(np.concatenate(out), axis=0)
 
     def matches(self, data: bytes) -> list[tuple[object, int, int, int]]:
-        """(item, start, end, edits) of every region that matches an item within its budget."""
-        if not data or not len(self.keys):
+        """(item, start, end, edits) of every place that matches an item within its budget."""
+        keys = grams(data)
+        if not len(keys) or not len(self.keys):
             return []
-        at, item, place = self.hits(data)
+        bands = self.bands(keys)
         out = []
-        order = np.argsort(item, kind="stable")
-        bounds = np.flatnonzero(np.r_[True, np.diff(item[order]) != 0, True]) if len(item) else []
-        for a, b in zip(bounds[:-1], bounds[1:]):
-            rows = order[a:b]
-            which = int(item[rows[0]])
-            length = len(self.items[which][1])
-            k = budget(length, self.rate)
-            need = max(1, length - Q + 1 - k * Q)
-            if len(rows) < need:
-                continue
-            out += [(self.items[which][0], *m) for m in self._regions(data, which, at[rows], place[rows], k, need)]
+        starts = np.flatnonzero(np.r_[True, np.diff(bands[:, 0]) != 0, True]) if len(bands) else []
+        for a, b in zip(starts[:-1], starts[1:]):
+            which = int(bands[a, 0])
+            for m in self._places(data, keys, which, bands[a:b, 1:].tolist()):
+                out += [(name, *m) for name in self.names[which]]
         return out
 
-    def _regions(self, data, which, at, place, k, need):
-        """Bands of 2(k + 1) diagonals that overlap by half, with enough distinct q-grams of the item."""
-        target, diagonal, step, found = self.items[which][1], at - place + len(self.items[which][1]), k + 1, []
-        for shift in (0, step):
-            band = (diagonal + shift) // (2 * step)
-            pairs = np.unique(np.stack([band, place], 1), axis=0)  # a q-gram of the item counts once in a band
-            bands, counts = np.unique(pairs[:, 0], return_counts=True)
-            for b in bands[counts >= need]:
-                low = int(b) * 2 * step - shift - len(target)
-                start = max(0, low - k)
-                best = align(target, data[start : low + 2 * step + len(target) + k], 2 * step + 3 * k + 1, k)
-                if best is not None and best[2] <= k:
-                    found.append((start + best[0], start + best[1], best[2]))
-        found.sort(key=lambda m: (m[2], m[0], m[1]))
-        kept: list[tuple[int, int, int]] = []
-        for m in found:  # both bands find the same region
-            if all(m[1] <= o[0] or m[0] >= o[1] for o in kept):
-                kept.append(m)
-        return sorted(kept)
+    def _places(self, data: bytes, keys: np.ndarray, which: int, bands: list[list[int]]) -> list[tuple[int, int, int]]:
+        target, k = self.texts[which], int(self.edits[which])
+        own, step = grams(target), k + 1
+        need = max(1, len(own) - k * Q)
+        found = set()
+        for shift, band in bands:
+            low = band * 2 * step - shift * step - len(target)
+            if _shared(own, keys, low, 2 * step, need) < need:
+                continue
+            start = max(0, low - k)
+            best = align(target, data[start : low + 2 * step + len(target) + k], 2 * step + 3 * k + 1, k)
+            if best is not None and best[2] <= k:
+                found.add((best[2], start + best[0], start + best[1]))
+        return _apart(sorted(found))
+
+
+def _rarest(places: np.ndarray, edits: int) -> np.ndarray:
+    """Which of an item's places, the rarest first, always leave one in a match: edits + 1 apart, or edits * Q + 1 of any."""
+    taken, chosen = np.zeros(len(places) + 2 * Q, bool), []
+    for i, place in enumerate(places.tolist()):
+        if not (taken[place] or taken[place + Q - 1]):
+            taken[place : place + Q] = True
+            chosen.append(i)
+            if len(chosen) > edits:
+                return np.array(chosen)
+    return np.arange(min(len(places), edits * Q + 1))
+
+
+def _shared(own: np.ndarray, keys: np.ndarray, low: int, width: int, enough: int) -> int:
+    """Places of the item whose q-gram stands in the text on one of ``width`` diagonals from ``low`` on; stops at ``enough``."""
+    held = np.zeros(len(own), bool)
+    n = 0
+    for start in range(low, low + width):
+        a, b = max(0, -start), min(len(own), len(keys) - start)
+        if a < b:
+            held[a:b] |= own[a:b] == keys[start + a : start + b]
+            n = int(np.count_nonzero(held))
+            if n >= enough:
+                break
+    return n
+
+
+def _apart(found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """(start, end, edits) of the best places that don't overlap, in order; ``found`` is (edits, start, end), best first."""
+    starts: list[int] = []
+    kept: list[tuple[int, int, int]] = []
+    for edits, start, end in found:
+        at = bisect_left(starts, start)
+        if (at == 0 or kept[at - 1][1] <= start) and (at == len(kept) or kept[at][0] >= end):
+            starts.insert(at, start)
+            kept.insert(at, (start, end, edits))
+    return kept
 
 
 def align(item: bytes, text: bytes, width: int, below: int = 0) -> tuple[int, int, int] | None:
@@ -205,6 +259,7 @@ def matches(
     """(key, item key, start, end, edits): every region of a text that matches an item within its edit budget."""
     spark = docs.sparkSession
     kind = items.schema[item_key].dataType
+    item_out = f"item_{item_key}" if item_key == key else item_key
     match = T.StructType(
         [T.StructField("item", kind), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("edits", T.LongType())]
     )
@@ -213,10 +268,10 @@ def matches(
     for block in _blocks(items, item_key, item_text):
         udf = text_udf(_make(spark.sparkContext.broadcast(block), rate, render), T.ArrayType(match))
         rows = docs.select(F.col(key).alias("_key"), F.explode(udf(F.col(text))).alias("m"))
-        rows = rows.select(F.col("_key").alias(key), F.col("m.item").alias(item_key), "m.start", "m.end", "m.edits")
+        rows = rows.select(F.col("_key").alias(key), F.col("m.item").alias(item_out), "m.start", "m.end", "m.edits")
         out = rows if out is None else out.unionByName(rows)
     if out is None:
-        fields = [T.StructField(key, docs.schema[key].dataType), T.StructField(item_key, kind), *match.fields[1:]]
+        fields = [T.StructField(key, docs.schema[key].dataType), T.StructField(item_out, kind), *match.fields[1:]]
         out = spark.createDataFrame([], T.StructType(fields))
     return out
 

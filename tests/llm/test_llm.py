@@ -230,6 +230,59 @@ def _distance(a, b):
     return row[-1]
 
 
+def _semi_global(item, text):
+    """Least edits of ``item`` against any part of ``text``."""
+    row = [0] * (len(text) + 1)
+    for i, x in enumerate(item, 1):
+        left, row[0] = row[0], i
+        for j, y in enumerate(text, 1):
+            left, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, left + (x != y))
+    return min(row)
+
+
+def test_decontamination_against_full_tables():
+    """Items of every length from a q-gram on, with fewer and more edits than their budgets, and stems that many share."""
+    rng = random.Random(21)
+    word = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    stem = word(30).strip()
+    items = [(i, decontam.plain(word(8 + 3 * i))) for i in range(24)] + [(100 + i, decontam.plain(f"{stem} {word(25)}")) for i in range(12)] + [(5, b"abcdefgh abcdefgh abcdefgh")]
+    index = decontam.ItemIndex([x for x in items if len(x[1]) >= decontam.Q], decontam.EDIT_RATE)
+    hits = 0
+    for n in range(120):
+        body = bytearray(items[n % len(items)][1])
+        for _ in range(rng.randint(0, 1 + decontam.budget(len(body), decontam.EDIT_RATE))):
+            at = rng.randrange(len(body))
+            body[at : at + rng.choice([0, 1, 1])] = rng.choice([b"", b"z", b"yz"])
+        text = decontam.plain(word(rng.randint(0, 60)) + bytes(body).decode() + word(rng.randint(0, 60)))
+        least = {(k, t): _semi_global(t, text) for k, t in items if len(t) >= decontam.Q}
+        wanted = {k for (k, t), e in least.items() if e <= decontam.budget(len(t), decontam.EDIT_RATE)}
+        found = index.matches(text)
+        assert {m[0] for m in found} == wanted
+        for key in wanted:
+            mine = [m for m in found if m[0] == key]
+            texts = [t for k, t in items if k == key]
+            assert min(e for *_, e in mine) == min(least[key, t] for t in texts if len(t) >= decontam.Q)
+            assert all(any(_distance(t, text[a:b]) == e for t in texts) for _, a, b, e in mine)
+        hits += len(wanted)
+    assert hits > 60
+
+
+def test_decontamination_stem_that_many_items_share():
+    rng = random.Random(22)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    stem = word(100)
+    items = [(i, f"{stem} {word(120)}".encode()) for i in range(20_000)]
+    index = decontam.ItemIndex(items, decontam.EDIT_RATE)
+    text = decontam.plain(" ".join([stem] * 5) + " " + items[77][1].decode() + " " + word(50))
+    assert len(index.bands(decontam.grams(text))) < 100  # the stem leads nowhere
+    assert [m[0] for m in index.matches(text)] == [77]
+
+
+def test_decontamination_item_key_named_like_the_document_key(spark):
+    rows = spark.createDataFrame([(1, "x" * 100)], "id long, text string")
+    assert decontam.matches(rows, rows, key="id", item_key="id").columns == ["id", "item_id", "start", "end", "edits"]
+
+
 def test_banded_alignment_against_full_table():
     rng = random.Random(7)
     for _ in range(80):
