@@ -4,8 +4,11 @@ The merge list fixes how far to the right a merge decision can depend on text
 not seen yet (``MergeTable.lookahead``). The encoder keeps that many symbols of
 an unfinished word, and emits every token that ends before them: no later text
 can change it. So a text, or one endless word, is encoded in blocks with memory
-that depends on the merge list only. The decoder turns ids back into text byte
-by byte and holds at most one incomplete UTF-8 sequence.
+that depends on the merge list only. In a word that is no longer than the
+lookahead nothing is stable before its end: the transducer finishes all such
+words of a slice of texts at once (``MergeTable.finish_many``). The decoder is a
+state machine (``TextMachine``) that takes one id at a time and holds at most
+one incomplete UTF-8 sequence and whether a space is due.
 
 Why a cut is safe: BPE merges never cross a final token boundary, so both sides
 of one are encoded independently; and a boundary is final once all merges that
@@ -35,10 +38,10 @@ from tessera.llm._common import text_udf
 
 #: Characters of a text that the encoder takes at once.
 BLOCK = 1 << 16
-#: Runs longer than this many characters are not kept in the memo.
+#: Runs longer than this many characters are streamed, not kept in the memo.
 MEMO_RUN = 48
-#: Entries that each memo of one Python worker holds before it starts anew.
-MEMO_LIMIT = 200_000
+#: Entries that a generation of a memo holds; a Python worker keeps two generations.
+MEMO_LIMIT = 80_000
 
 # White space of the Unicode property White_Space, and the
 # patterns and byte alphabet that tokenizer files of this kind refer to.
@@ -108,8 +111,11 @@ class MergeTable:
                 ranks[at - 1] = rank_of(ids[at - 1] << 20 | ids[at], none)
         return ids
 
-    def merged_many(self, words: list[bytes]) -> list[list[int]]:
-        """``merged`` of many whole words at once: every round applies each word's earliest rule, in numpy."""
+    def finish_many(self, words: list[bytes]) -> list[list[int]]:
+        """What the transducer emits at the ends of many words, each no longer than the lookahead.
+
+        ``merged`` of all of them at once: every round applies each word's earliest rule, in numpy.
+        """
         if len(words) < 100:
             return [self.merged([self.inner[b] for b in w[:-1]] + [self.last[w[-1]]]) for w in words]
         sizes = np.fromiter(map(len, words), np.int64, len(words))
@@ -225,50 +231,43 @@ def composition_cut(text: str, most: int) -> int:
 
 
 class Encoder:
-    """Texts to ids. One encoder serves a Python worker; its memo of short words is bounded."""
+    """Texts to ids, as a stream of lists of tokens that nothing later can change."""
 
     def __init__(self, path: str):
         self.table = table_of(path)
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.words: dict[str, list[int]] = {}
         self._special = re.compile("|".join(map(re.escape, self.table.special)) or r"(?!)")
 
-    def word(self, word: str) -> tuple[int, ...]:
+    def word(self, word: str) -> list[int]:
+        """Ids of a word of bounded length."""
         ids = self.words.get(word)
         if ids is None:
-            self.learn([word])
-            ids = self.words.get(word)
-        if ids is None:  # too long for the memo: stream it
-            long = WordTransducer(self.table)
-            ids = tuple(long.feed(word.encode("utf-8", "surrogatepass")) + long.finish())
+            data = word.encode("utf-8", "surrogatepass")
+            machine = WordTransducer(self.table)
+            ids = machine.feed(data) + machine.finish()
+            if len(word) <= MEMO_RUN:
+                if len(self.words) >= MEMO_LIMIT:
+                    self.words.clear()
+                self.words[word] = ids
         return ids
 
-    def learn(self, words: Iterable[str]) -> None:
-        """Encode those words that are short enough to be whole in the transducer's window, at once."""
-        fresh = [w for w in set(words).difference(self.words) if len(w) <= MEMO_RUN]
-        if len(self.words) + len(fresh) > MEMO_LIMIT:
-            self.words.clear()
-            fresh = [w for w in set(words) if len(w) <= MEMO_RUN]
-        found = self.table.merged_many([w.encode("utf-8", "surrogatepass") for w in fresh])
-        self.words.update(zip(fresh, map(tuple, found)))
+    def stream(self, run: str) -> Iterator[list[int]]:
+        """Tokens of a run without white space, specials included, as soon as they are stable."""
+        at = 0
+        for m in self._special.finditer(run) if "<" in run else ():
+            yield from self._plain(run[at : m.start()])
+            yield [self.table.special[m[0]]]
+            at = m.end()
+        yield from self._plain(run[at:] if at else run)
 
     def run(self, run: str) -> list[int]:
-        """A run without white space, specials included."""
-        out: list[int] = []
-        if "<" in run:
-            at = 0
-            for m in self._special.finditer(run):
-                out += self._plain(run[at : m.start()])
-                out.append(self.table.special[m[0]])
-                at = m.end()
-            return out + self._plain(run[at:])
-        return self._plain(run)
-
-    def _plain(self, run: str) -> list[int]:
-        out: list[int] = []
+        return [i for part in self.stream(run) for i in part]
+
+    def _plain(self, run: str) -> Iterator[list[int]]:
         if len(run) <= BLOCK:
             for word in self.simple_words(run) if run else ():
-                out += self.word(word)
-            return out
+                yield self.word(word)
+            return
         # An endless run: cut into blocks for NFC; the last match of a block may
         # go on in the next, as letters, as other characters or as a contraction.
         rest, at, open_word, kind = "", 0, None, ""
@@ -280,25 +279,24 @@ class Encoder:
             over = at >= len(run)
             if open_word is not None:
                 cut = regex.match(r"\p{L}*" if kind == "L" else r"[^\p{L}\p{N}]*", rest).end()
-                out += open_word.feed(rest[:cut].encode("utf-8", "surrogatepass"))
+                yield open_word.feed(rest[:cut].encode("utf-8", "surrogatepass"))
                 rest = rest[cut:]
                 if not rest and not over:
                     continue
-                out += open_word.finish()
+                yield open_word.finish()
                 open_word = None
             found = _WORD.findall(rest)
             keep = 0 if over else min(len(found), 2 if len(found) > 1 and len(found[-1]) <= 2 else 1)
             for word in found[: len(found) - keep]:
-                out += self.word(word)
+                yield self.word(word)
             rest = "".join(found[len(found) - keep :])
             if keep == 1 and len(rest) > 4 * self.table.lookahead:
                 kind = "L" if regex.match(r"\p{L}", rest) else "P"
                 open_word = WordTransducer(self.table)
-                out += open_word.feed(rest.encode("utf-8", "surrogatepass"))
+                yield open_word.feed(rest.encode("utf-8", "surrogatepass"))
                 rest = ""
         if open_word is not None:
-            out += open_word.finish()
-        return out
+            yield open_word.finish()
 
     @staticmethod
     def simple_words(run: str) -> list[str]:
@@ -328,91 +326,169 @@ class Encoder:
         return [i for block in self.blocks(text or "") for run in block for i in self.run(run)]
 
 
-class Decoder:
-    """Ids to text, one token at a time.
+class TextMachine:
+    """Ids to text, one at a time.
 
-    ``shown`` joins the tokens' written forms by one space, as the library does
-    for a file without decoder. Otherwise bytes are put together to characters by
-    an incremental UTF-8 state machine and word ends become one space.
+    With ``written`` the text is the tokens' written forms, one space between two,
+    as the library gives it for a file without decoder. Otherwise the tokens'
+    bytes pass an incremental UTF-8 decoder, and the end of a word becomes a space
+    before the next token.
     """
 
+    def __init__(self, decoder: Decoder, written: bool):
+        self.decoder, self.written, self.due = decoder, written, False
+        self.utf8 = codecs.getincrementaldecoder("utf-8")("replace")
+
+    def push(self, i: int) -> str:
+        gap = " " if self.due else ""
+        if self.written:
+            self.due = True
+            return gap + self.decoder.names[i]
+        special, data, ends = self.decoder.bytes_of[i]
+        if special is not None:
+            self.due = True
+            return self.finish() + gap + special
+        self.due = ends
+        return gap + self.utf8.decode(data)
+
+    def push_all(self, ids: list[int]) -> str:
+        """``push`` of each id in turn."""
+        if not self.written:
+            return "".join(map(self.push, ids))
+        gap, self.due = " " if self.due and ids else "", self.due or bool(ids)
+        names = self.decoder.names
+        return gap + " ".join([names[i] for i in ids])
+
+    def finish(self) -> str:
+        """What an incomplete sequence of bytes stands for; the machine is at a start again, but for a due space."""
+        left = self.utf8.decode(b"", True)
+        self.utf8.reset()
+        return left
+
+
+class Decoder:
+    """The tokens of a file, and machines that turn their ids into text."""
+
     def __init__(self, path: str):
-        self.table = table_of(path)
-        self.bytes_of = {c: b for b, c in enumerate(byte_alphabet())}
-
-    def shown(self, ids: list[int]) -> str:
-        names = self.table.shown
-        return " ".join([names[i] for i in ids])
-
-    def text(self, ids: Iterator[int]) -> str:
-        machine, out, suffix = codecs.getincrementaldecoder("utf-8")("replace"), [], self.table.suffix
-        specials = set(self.table.special.values())
-        for i in ids:
-            token = self.table.shown[i]
-            if i in specials:
-                out += [machine.decode(b"", True), token, " "]
-                machine.reset()
-                continue
-            ends = bool(suffix) and token.endswith(suffix)
-            out.append(machine.decode(bytes(self.bytes_of[c] for c in (token.removesuffix(suffix) if ends else token))))
-            if ends:
-                out.append(" ")
-        out.append(machine.decode(b"", True))
-        return "".join(out).rstrip(" ")
-
-
-def _digests(path: str):
-    """Count and digests of ids and decoded text, without holding either whole."""
-    return lambda: _digest_function(path)
+        table = table_of(path)
+        self.names = table.shown
+        byte_of = {c: b for b, c in enumerate(byte_alphabet())}
+        specials = set(table.special.values())
+        #: Of each id: the special token's text or None, its bytes, and whether a word ends with it.
+        self.bytes_of: dict[int, tuple[str | None, bytes, bool]] = {}
+        for i, name in self.names.items():
+            ends = bool(table.suffix) and name.endswith(table.suffix)
+            plain = "" if i in specials else name.removesuffix(table.suffix) if ends else name
+            self.bytes_of[i] = (name if i in specials else None, bytes(byte_of[c] for c in plain), ends)
+
+    def machine(self, written: bool) -> TextMachine:
+        return TextMachine(self, written)
+
+    def _all(self, ids: Iterable[int], written: bool) -> str:
+        machine = self.machine(written)
+        return machine.push_all(list(ids)) + machine.finish()
+
+    def shown(self, ids: Iterable[int]) -> str:
+        return self._all(ids, True)
+
+    def text(self, ids: Iterable[int]) -> str:
+        return self._all(ids, False)
+
+
+class RunMemo:
+    """Ids and decoded text of short runs, in two generations: runs not met again since the older one began go with it."""
+
+    def __init__(self, encoder: Encoder, decoder: Decoder):
+        self.encoder, self.decoder = encoder, decoder
+        self.written = [str(i) for i in range(max(encoder.table.shown) + 1)]
+        self.ids_of: dict[str, str] = {}
+        self.shown_of: dict[str, str] = {}
+        self.older: tuple[dict[str, str], dict[str, str]] = ({}, {})
+
+    def hold(self, runs: set[str]) -> None:
+        """Take in all runs that aren't too long."""
+        fresh = runs.difference(self.ids_of)
+        if fresh and len(self.ids_of) + len(fresh) > MEMO_LIMIT:
+            self.older, self.ids_of, self.shown_of, fresh = (self.ids_of, self.shown_of), {}, {}, runs
+        ids_of, shown_of, new = *self.older, []
+        for run in fresh:
+            if run in ids_of:
+                self.ids_of[run], self.shown_of[run] = ids_of[run], shown_of[run]
+            elif len(run) <= MEMO_RUN:
+                new.append(run)
+        self._learn(new)
+
+    def _learn(self, runs: list[str]) -> None:
+        encoder, written = self.encoder, self.written
+        simple = [None if "<" in r else Encoder.simple_words(r) for r in runs]
+        words = sorted({w for found in simple if found for w in found})
+        data = [w.encode("utf-8", "surrogatepass") for w in words]
+        if max(map(len, data), default=0) > encoder.table.lookahead:  # a word of MEMO_RUN characters may have so many bytes
+            ids_of = {w: encoder.word(w) for w in words}
+        else:
+            ids_of = dict(zip(words, encoder.table.finish_many(data)))
+        machine = self.decoder.machine(True)
+        for run, found in zip(runs, simple):
+            ids = encoder.run(run) if found is None else ids_of[found[0]] if len(found) == 1 else [i for w in found for i in ids_of[w]]
+            self.ids_of[run] = " ".join([written[i] for i in ids])
+            self.shown_of[run] = machine.push_all(ids)
+            machine.due = False  # the next run's text is kept for itself
+
+
+class Digests:
+    """Count and digests of the ids and the decoded text of one text, without holding either whole."""
+
+    def __init__(self, memo: RunMemo):
+        self.memo, self.n, self.gap = memo, 0, b""
+        self.ids, self.text = hashlib.sha256(), hashlib.sha256()
+
+    def _add(self, n: int, ids: str, text: str) -> None:
+        self.n += n
+        self.ids.update(self.gap + ids.encode())
+        self.text.update(self.gap + text.encode())
+        self.gap = b" "
+
+    def block(self, runs: list[str]) -> None:
+        memo = self.memo
+        try:
+            ids, text = " ".join(map(memo.ids_of.__getitem__, runs)), " ".join(map(memo.shown_of.__getitem__, runs))
+        except KeyError:  # runs of a long text, or one too long for the memo
+            memo.hold(set(runs))
+            for run in runs:
+                if run in memo.ids_of:
+                    self._add(memo.ids_of[run].count(" ") + 1, memo.ids_of[run], memo.shown_of[run])
+                else:
+                    self._long(run)
+            return
+        if runs:
+            self._add(ids.count(" ") + 1, ids, text)
+
+    def _long(self, run: str) -> None:
+        machine = self.memo.decoder.machine(True)
+        for ids in self.memo.encoder.stream(run):
+            for i in ids:
+                text = machine.push(i)
+                self._add(1, self.memo.written[i], text.removeprefix(" "))
+
+    def row(self) -> dict:
+        return {"n_tokens": self.n, "ids_sha256": self.ids.hexdigest(), "decoded_sha256": self.text.hexdigest()}
 
 
 @lru_cache(maxsize=1)
 def _digest_function(path: str):
-    """One a Python worker, so that its memos serve all tasks that the worker runs."""
-    encoder, decoder = Encoder(path), Decoder(path)
-    ids_of: dict[str, str] = {}
-    shown_of: dict[str, str] = {}
-    written = [str(i) for i in range(max(encoder.table.shown) + 1)]
-    long_runs: set[str] = set()
-
-    def learn(runs: set[str]) -> None:
-        if len(ids_of) + len(runs) > MEMO_LIMIT:
-            ids_of.clear()
-            shown_of.clear()
-        simple = {r: Encoder.simple_words(r) for r in runs if len(r) <= MEMO_RUN and "<" not in r}
-        encoder.learn(w for words in simple.values() for w in words)
-        for run in runs:
-            words = simple.get(run)
-            ids = encoder.run(run) if words is None else [i for w in words for i in encoder.word(w)]
-            ids_of[run] = " ".join([written[i] for i in ids])
-            shown_of[run] = decoder.shown(ids)
-        long_runs.update(r for r in runs if len(r) > MEMO_RUN)
-
-    def one(blocks: Iterable[list[str]]) -> dict:
-        n, gap = 0, b""
-        ids_sha, text_sha = hashlib.sha256(), hashlib.sha256()
-        for block in blocks:
-            if fresh := set(block).difference(ids_of):
-                learn(fresh if len(ids_of) + len(fresh) <= MEMO_LIMIT else set(block))
-            if block:
-                ids = " ".join(map(ids_of.__getitem__, block))
-                n += ids.count(" ") + 1
-                ids_sha.update(gap + ids.encode())
-                text_sha.update(gap + " ".join(map(shown_of.__getitem__, block)).encode())
-                gap = b" "
-        return {"n_tokens": n, "ids_sha256": ids_sha.hexdigest(), "decoded_sha256": text_sha.hexdigest()}
+    """One a Python worker, so that its memo serves all tasks that the worker runs."""
+    memo = RunMemo(Encoder(path), Decoder(path))
+
+    def one(text: str) -> dict:
+        out = Digests(memo)
+        for runs in Encoder.blocks(text):
+            out.block(runs)
+        return out.row()
 
     def slice_of(texts: list) -> list[dict]:
         short = [t.split() for t in texts if t and len(t) <= BLOCK and not _SPLIT_DIFFERS.search(t)]
-        fresh = set().union(*short).difference(ids_of)  # learnt together: fewer, larger numpy calls
-        if fresh:
-            learn(fresh)
-        out = [one(Encoder.blocks(t or "")) for t in texts]
-        for run in long_runs:  # they served this slice only
-            ids_of.pop(run, None)
-            shown_of.pop(run, None)
-        long_runs.clear()
-        return out
+        memo.hold(set().union(*short))  # learnt together: fewer, larger numpy calls
+        return [one(t or "") for t in texts]
 
     return slice_of
 
@@ -453,4 +529,4 @@ def round_trip(df: DataFrame, path: str, text: str = "text", out: str = "bpe") -
     Both digests are taken while tokens stream by, so neither the ids nor the
     decoded text of a row is ever held whole.
     """
-    return df.withColumn(out, text_udf(_digests(path), DIGESTS)(F.col(text)))
+    return df.withColumn(out, text_udf(lambda: _digest_function(path), DIGESTS)(F.col(text)))

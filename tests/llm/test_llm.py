@@ -66,7 +66,7 @@ def test_bpe_streams_endless_words(word_tokenizer, monkeypatch):
 def test_bpe_many_words_at_once_is_one_by_one():
     table, rng = bpe.table_of(WORD), random.Random(4)
     words = [bytes(rng.choice(b"thequingaronse") for _ in range(rng.randint(1, 30))) for _ in range(400)]
-    assert table.merged_many(words) == [table.merged([table.inner[b] for b in w[:-1]] + [table.last[w[-1]]]) for w in words]
+    assert table.finish_many(words) == [table.merged([table.inner[b] for b in w[:-1]] + [table.last[w[-1]]]) for w in words]
 
 
 def test_bpe_odd_rows(odd, empty, word_tokenizer):
