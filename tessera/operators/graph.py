@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.storage import stored
+from tessera.storage import discard, stored_at
 
 
 def _large_stars(links: DataFrame) -> DataFrame:
@@ -29,14 +29,17 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Alternating stars: each half round only moves ends of links to smaller nodes
     of the same component, so links never grow in number, a dense group shrinks
     to one star at once and a chain halves. Each round's links are a written
-    table; they are done when a round changes none. Null ends are left out.
+    table, which goes when the next one is; they are done when a round changes none. Null ends are left out.
     """
     ends = edges.where(f"{a} is not null and {b} is not null and {a} <> {b}")
-    links = stored(ends.select(F.least(a, b).alias("low"), F.greatest(a, b).alias("high")).distinct(), "links")
+    spark = edges.sparkSession
+    links, path = stored_at(ends.select(F.least(a, b).alias("low"), F.greatest(a, b).alias("high")).distinct(), "links")
     mark = lambda df: tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("low", "high").cast("decimal(38,0)"))).first())
     before = mark(links)
     while True:
-        links = stored(_small_stars(_large_stars(links)), "links")
+        older = path
+        links, path = stored_at(_small_stars(_large_stars(links)), "links")
+        discard(spark, older)
         after = mark(links)
         if after == before:
             break
