@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from tessera.storage import new_path, stored  # noqa: F401
+
 #: Rows that a per-row function sees at once; bounds Python memory beside long texts.
 SLICE_ROWS = 256
 
@@ -37,35 +37,6 @@ def text_udf(make: Callable[[], Callable[[list], list]], returns: T.DataType) ->
     return F.arrow_udf(run, returns).asNondeterministic()
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    held = spark.conf.get("spark.checkpoint.dir", None)
-    if not held:
-        inside = spark.sparkContext.getCheckpointDir()
-        if inside is None:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
-            inside = spark.sparkContext.getCheckpointDir()
-        held = inside
-    return f"{held.rstrip('/')}/tessera"
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write to the shared folder and read back."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder of our own in the shared folder."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
 def fold(key: str, parts: int) -> Column:
     """crc32 of the key's text modulo ``parts``; null for a null key."""
     return F.crc32(F.col(key).cast("string").cast("binary")) % parts
@@ -76,14 +47,19 @@ def unit_hash(*keys: str) -> Column:
     return F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(1 << 30)) / float(1 << 30)
 
 
-def bounded_sample(rows: DataFrame, key: str, at_most: int, by: str | None = None) -> DataFrame:
-    """About ``at_most`` rows (of each value of ``by``), chosen by a hash of the key.
+def bounded_sample(rows: DataFrame, key: str, at_most: int) -> DataFrame:
+    """About ``at_most`` rows, or all where there are fewer, chosen by a hash of the key."""
+    return rows.where(unit_hash(key) < at_most / max(rows.count(), 1))
 
-    All rows are taken where there are fewer. ``by`` has few values, as the labels
-    of a model do: their counts are broadcast, so that no row is shuffled.
-    """
-    if by is None:
-        total = rows.count()
-        return rows.where(unit_hash(key) < at_most / max(total, 1))
-    counts = rows.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
-    return rows.join(F.broadcast(counts), by).where(unit_hash(key) * F.col("_n") < at_most).drop("_n")
+
+def label_counts(rows: DataFrame, by: str) -> dict:
+    """Rows of each value of ``by``, over the whole table; ``by`` has few values, as a model's labels do."""
+    return {r[by]: r["count"] for r in rows.groupBy(by).count().collect()}
+
+
+def sample_of(rows: DataFrame, key: str, at_most: int, by: str, counts: dict) -> DataFrame:
+    """``bounded_sample`` of each value of ``by``: the counts are constants of the plan, so that no row is shuffled."""
+    share = F.lit(0.0)
+    for value, n in counts.items():
+        share = F.when(F.col(by) == F.lit(value), at_most / n).otherwise(share)
+    return rows.where(unit_hash(key) < share)

@@ -5,7 +5,11 @@ every window of two to four characters is hashed to one of ``BUCKETS``. Training
 sums the buckets' counts by language in Spark; the matrix of log probabilities
 (buckets x languages, a fixed number of bytes a language) is broadcast, and the
 texts of a batch are scored together as the rows of one sparse matrix: the
-batch's buckets gather rows of log probabilities, which are added up by text.
+batch's buckets gather rows of log probabilities, which are added up by text
+and to the log priors, the languages' shares of all labelled rows. The language
+is that of the largest posterior. As overlapping windows depend on each other
+the posterior is all but 0 or 1; the published score is it tempered, with logs
+divided by the root of the number of windows.
 
 Nulls and edge cases: a null text or one without a letter is ``und`` with score
 0. Ties go to the language that sorts first. Without a training row everything
@@ -22,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm._common import bounded_sample, text_udf
+from tessera.llm._common import label_counts, sample_of, text_udf
 
 BUCKETS = 1 << 16
 #: Labelled rows of each language that a model is fitted on, about.
@@ -56,9 +60,9 @@ class Model:
         out = [(UNKNOWN, 0.0)] * len(texts)
         rows = [i for i, t in enumerate(texts) if self.languages and t is not None and any(map(str.isalpha, t))]
         for a, b, total, sizes in self._totals([texts[i] for i in rows]):
-            # windows overlap and depend on each other: temper their sum so that scores say something
-            logit = total / np.sqrt(sizes)[:, None] + self.prior
+            logit = total + self.prior
             best = logit.argmax(1)
+            logit /= np.sqrt(sizes)[:, None]
             score = 1 / np.exp(logit - logit.max(1, keepdims=True)).sum(1)
             for i, k, p in zip(rows[a:b], best.tolist(), score.tolist()):
                 out[i] = (self.languages[k], p)
@@ -86,7 +90,8 @@ class Model:
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", at_most: int = TRAIN_ROWS) -> Model:
     """Fit on the labelled rows, on about ``at_most`` of each language chosen by a hash of the key."""
     rows = docs.select(F.col(key).alias("k"), F.col(lang).alias("lang"), F.col(text).alias("text")).where("k is not null and lang is not null")
-    chosen = bounded_sample(rows, "k", at_most, "lang")
+    sizes = label_counts(rows.select("lang"), "lang")
+    chosen = sample_of(rows, "k", at_most, "lang", sizes)
 
     def make():
         def counts(text):
@@ -98,7 +103,6 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     kind = T.ArrayType(T.StructType([T.StructField("b", T.IntegerType()), T.StructField("n", T.LongType())]))
     counted = chosen.select("lang", F.explode(text_udf(make, kind)("text")).alias("c")).groupBy("lang", "c.b").agg(F.sum("c.n").alias("n"))
     found = counted.toPandas()  # at most BUCKETS rows a language
-    sizes = {r["lang"]: r["count"] for r in chosen.groupBy("lang").count().collect()}
     languages = sorted(sizes)
     table = np.full((BUCKETS, len(languages)), 0.5)
     place = {name: i for i, name in enumerate(languages)}

@@ -34,9 +34,7 @@ from tessera.llm._common import bounded_sample, stored, text_udf
 
 #: Labelled rows that a model is fitted on, about.
 TRAIN_ROWS = 12_000
-#: Tell-tale features kept at most, the strongest first.
-FEATURES = 4000
-#: A tell-tale feature occurs in so many toxic training rows, and hardly elsewhere.
+#: A tell-tale feature occurs in so many toxic training rows, and hardly elsewhere; in fewer rows where few are toxic.
 LEAST_ROWS = 8
 LEAST_PRECISION = 0.7
 PREFIXES = (4, 5, 6)
@@ -98,7 +96,12 @@ class Model:
         return {"severity": float(p.sum()), "p_toxic": float(p[0]), "grade": grade, "toxic": grade > 0}
 
 
-def _tell_tale(rows: DataFrame) -> list[bytes]:
+def least_rows(toxic: int) -> int:
+    """Rows that a feature must occur in, of so many toxic rows: an eighth of them, from 1 to LEAST_ROWS."""
+    return min(LEAST_ROWS, max(1, -(-toxic // LEAST_ROWS)))
+
+
+def _tell_tale(rows: DataFrame, toxic: int) -> list[bytes]:
     """Features that mark toxic training rows: counted in those rows first, then the candidates in the others."""
 
     def kinds():
@@ -106,7 +109,7 @@ def _tell_tale(rows: DataFrame) -> list[bytes]:
 
     held = text_udf(kinds, T.ArrayType(T.BinaryType()))
     inside = rows.where("grade > 0").select(F.explode(held("text")).alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("hit"))
-    found = {bytes(r["f"]): r["hit"] for r in inside.where(F.col("hit") >= LEAST_ROWS).collect()}  # bounded by the sample
+    found = {bytes(r["f"]): r["hit"] for r in inside.where(F.col("hit") >= least_rows(toxic)).collect()}  # bounded by the sample
     shared = rows.sparkSession.sparkContext.broadcast(set(found))
 
     def candidates():
@@ -117,7 +120,7 @@ def _tell_tale(rows: DataFrame) -> list[bytes]:
     outside = rows.where("grade = 0").select(F.explode(held("text")).alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("miss"))
     missed = {bytes(r["f"]): r["miss"] for r in outside.collect()}
     good = [(n, f) for f, n in found.items() if n >= LEAST_PRECISION * (n + missed.get(f, 0))]
-    return [f for _, f in sorted(good, key=lambda x: (-x[0], x[1]))[:FEATURES]]
+    return [f for _, f in sorted(good, key=lambda x: (-x[0], x[1]))]
 
 
 def solve(matrix: list[list[tuple[int, float]]], grades: np.ndarray, n: int, ridge: float = 1e-5, rounds: int = 600) -> tuple[np.ndarray, np.ndarray]:
@@ -155,18 +158,20 @@ def fit(
     """Fit on about ``at_most`` labelled rows. ``grade`` names a column of real grades, if labels has one."""
     marks = labels.select(F.col(key).alias("k"), F.col(grade or toxic).cast("int").alias("grade")).where("k is not null and grade is not null")
     marks = marks.groupBy("k").agg(F.max("grade").alias("grade"))
-    chosen = bounded_sample(marks, "k", at_most).limit(2 * at_most)
+    chosen = bounded_sample(marks, "k", at_most)
     train = docs.select(F.col(key).alias("k"), F.col(text).alias("text")).join(F.broadcast(chosen), "k")
 
     def copies():
         return lambda texts: [_copy_key(words_of(t)) for t in texts]
 
-    train = train.withColumn("copy", text_udf(copies, T.LongType())("text")).repartition(16, "copy")
-    rows = stored(train.dropDuplicates(["copy", "grade"]), "toxicity-train")
+    train = stored(train.withColumn("copy", text_udf(copies, T.LongType())("text")), "toxicity-train")
+    # of copies the row of the smallest key: one number a copy is shuffled, after partial sums, and no text
+    kept = train.groupBy("copy", "grade").agg(F.min("k").alias("k"))
+    rows = stored(train.join(F.broadcast(kept), ["copy", "grade", "k"], "left_semi"), "toxicity-rows")
     sizes = {r["grade"]: r["count"] for r in rows.groupBy("grade").count().collect()}
     if len(sizes) < 2:
         return Model({}, [])
-    names = _tell_tale(rows)
+    names = _tell_tale(rows, sum(n for g, n in sizes.items() if g > 0))
     if not names:
         return Model({}, [])
     probe = Model(dict.fromkeys(names, 1.0), [0.0])

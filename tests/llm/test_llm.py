@@ -310,6 +310,27 @@ def test_language_on_held_out_rows(spark):
     assert all(0 <= r["score"] <= 1 for r in rows)
 
 
+def test_language_is_the_posterior_of_a_dense_model(spark):
+    """The registered model against sums over a plain count table; languages of very different shares."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("lang is not null and text is not null")
+    rows = [r for r in docs.select("doc_id", "lang", "text").collect() if r["lang"] == "en" or r["doc_id"] % 5 == 0]
+    model = langid.fit(spark.createDataFrame(rows))
+    names = sorted({r["lang"] for r in rows})
+    counts = {n: {} for n in names}
+    for r in rows:
+        for b in langid.hashed(r["text"]).tolist():
+            counts[r["lang"]][b] = counts[r["lang"]].get(b, 0) + 1
+    totals = {n: sum(c.values()) + 0.5 * langid.BUCKETS for n, c in counts.items()}
+    share = {n: np.log(sum(r["lang"] == n for r in rows) / len(rows)) for n in names}
+    for text in [r["text"] for r in rows[:40]] + ["a", "de la", "the", "und"]:
+        buckets = langid.hashed(text).tolist()
+        log = np.array([share[n] + sum(np.log((counts[n].get(b, 0) + 0.5) / totals[n]) for b in buckets) for n in names])
+        lang, score = model.predict([text])[0]
+        tempered = log / np.sqrt(len(buckets))
+        assert lang == names[int(log.argmax())]
+        assert abs(score - 1 / np.exp(tempered - tempered.max()).sum()) < 1e-4
+
+
 def test_language_odd_rows(odd, empty):
     model = langid.Model(["de", "en"], np.zeros((langid.BUCKETS, 2), np.float32), np.log([0.5, 0.5]))
     found = [(r["doc_id"], r["language"]["lang_pred"]) for r in langid.predicted(odd, model).collect()]
@@ -331,6 +352,50 @@ def test_quality_separates_and_ignores_unlabelled(spark, odd, empty):
     assert quality.scored(empty, model).count() == 0
 
 
+def test_quality_model_is_the_least_loss_of_its_pairs():
+    """The fitted weights against a plain loop over the same pairs, and a document with repeated rows."""
+    rng = np.random.default_rng(23)
+    rows = np.c_[rng.normal(size=(90, 3)), np.ones(90)].astype(np.float32)
+    good = rows[:, 0] + 1.5 * rng.normal(size=90) > -0.5
+    model = quality.solve(rows, good)
+    z = np.clip((rows - model.mean) / model.scale, -6, 6)
+    draw = np.random.default_rng(7)
+    bad = np.flatnonzero(~good)
+    loser, winner = np.repeat(bad, quality.PAIRS), draw.choice(np.flatnonzero(good), len(bad) * quality.PAIRS)
+    loss = lambda w: np.mean([np.log1p(np.exp(-(z[a] - z[b]) @ w)) for a, b in zip(winner, loser)]) + 0.5e-3 * w @ w
+    least = loss(model.weights)
+    for step in np.eye(4)[:3] * 0.1:
+        assert loss(model.weights + step) > least - 1e-5 and loss(model.weights - step) > least - 1e-5
+    assert model.cut == np.quantile(z @ model.weights, 1 - good.mean())
+    assert ((model.score(rows) >= 0.5) == (z @ model.weights >= model.cut)).all()
+
+
+def test_quality_repeated_rows_of_one_document(spark):
+    rows = [(1, "bad!! !!", 0)] * 40 + [(i, f"good words {i} of text", 1) for i in range(2, 30)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    once = quality.fit(table.dropDuplicates(), table)
+    assert np.allclose(quality.fit(table, table).weights, once.weights)
+
+
+def test_toxicity_learns_from_one_toxic_row(spark):
+    rows = [(i, f"plain words number{i} here", 0) for i in range(60)] + [(60, "plain vile words here", 1)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(table, table)
+    asked = spark.createDataFrame([(1, "such vile things"), (2, "such plain things")], "doc_id long, text string")
+    assert [r["toxicity"]["toxic"] for r in toxicity.scored(asked, model).orderBy("doc_id").collect()] == [True, False]
+
+
+def test_toxicity_score_against_plain_sums():
+    model = toxicity.Model({b"vile": 2.0, b"blut ": 0.5, b"bluth ": 1.5}, [1.0, 3.0])
+    for text, x in [(None, 0.0), ("", 0.0), ("Vile! vile", 2 * np.log1p(2)), ("bluthe a blute", 0.5 * np.log1p(2) + 1.5 * np.log1p(1))]:
+        p = [1 / (1 + np.exp(t - x)) for t in model.thresholds]
+        found = model.score(text)
+        assert abs(found["severity"] - sum(p)) < 1e-12 and abs(found["p_toxic"] - p[0]) < 1e-12
+        assert found["grade"] == sum(q >= 0.5 for q in p) and found["toxic"] == (found["grade"] > 0)
+    loud = [[(0, 1.0)], [(0, 2.0)], [(1, 1.0)], []]
+    assert toxicity.solve(loud, np.array([1, 2, 0, 0]), 2)[0][0] > 0
+
+
 def test_toxicity_finds_marked_words_and_stems(spark, odd, empty):
     rng = random.Random(8)
     rows = []
