@@ -11,6 +11,7 @@ from tessera.functions import html, ident, size, text
 from tessera.operators import evidence, filters, resolution, results, writes
 from tessera.plans.tables import ctes, derived, read
 from tessera.sources import gazette, items, tender
+from tessera.storage import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -320,8 +321,10 @@ def phone_normalisation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     r"""WITH h AS (SELECT page_id, url, regexp_replace(regexp_extract(regexp_replace(lower(trim(url)), '^[a-z]+://', ''), '^[^/?#:]*'), '^www\.', '') AS host FROM pages),
-p AS (SELECT *, string_split(host, '.') AS s FROM h)
-SELECT page_id, CASE WHEN regexp_full_match(host, '[a-z0-9.-]+\.[a-z0-9.-]+') THEN s[-2] || '.' || s[-1] END AS domain, nullif(regexp_extract(url, '^(https?://[^/?#]+(/(es|en|ca|eu|gl|fr|de|pt))?)', 1), '') AS root,
+p AS (SELECT *, string_split(host, '.') AS s, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS site,
+  list_filter(string_split(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '/'), x -> x <> '') AS folders FROM h)
+SELECT page_id, CASE WHEN regexp_full_match(host, '[a-z0-9.-]+\.[a-z0-9.-]+') THEN s[-2] || '.' || s[-1] END AS domain, CASE WHEN site = '' OR len(folders) = 0 THEN NULL
+   WHEN regexp_full_match(folders[1], '[a-z]{2}([_-][a-zA-Z]{2})?') THEN CASE WHEN len(folders) > 1 THEN site || '/' || folders[1] || '/' END ELSE site || '/' END AS root,
    regexp_matches(url, '(?i)/(ficha|directorio|listing)/[^/?#]+') AS directory FROM p"""
 )
 def url_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -352,13 +355,13 @@ def text_normalisation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     r"""SELECT page_id, nullif(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')), '') AS title,
   CAST(len(list_distinct(regexp_extract_all(html, '(?i)<a\b[^>]*?href="([^"]*)"', 1))) AS INT) AS n_links,
-  CAST(length(trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html,
-   '(?is)<script\b.*?</script>|<style\b.*?</style>|<noscript\b.*?</noscript>', ' ', 'g'), '(?i)<br\s*/?>|</?(p|div|li|tr|h[1-6]|section|footer|header|td)\b[^>]*>', chr(10), 'g'), '<[^>]+>', ' ', 'g'),
-   '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&amp;', '&'), '[ \t\r\f]+', ' ', 'g'), '\s*\n\s*', chr(10), 'g'))) AS INT) AS text_chars FROM pages"""
+  md5(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html,
+   '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<noscript\b.*?</noscript\s*>', ' ', 'g'), '(?i)</(?:p|div|li|tr|h[0-9])>|<br ?/?>', chr(10), 'g'), '<[^>]*>', ' ', 'g'),
+   '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '[ \t\r\f\v]+', ' ', 'g'), '\n\s*\n', chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS text_md5 FROM pages"""
 )
 def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("html")
-    return read(spark, sf_dir, "pages").select("page_id", html.title(c).alias("title"), F.size(html.links(c)).alias("n_links"), F.length(html.html_text(c)).alias("text_chars"))
+    return read(spark, sf_dir, "pages").select("page_id", html.title(c).alias("title"), F.size(html.links(c)).alias("n_links"), F.md5(html.html_text(c)).alias("text_md5"))
 
 
 @query(
@@ -548,7 +551,7 @@ def role_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Resolution
 
-GRAMS = """WITH n AS (SELECT DISTINCT trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) AS k FROM part WHERE p_partkey % 4 < 2),
+GRAMS = """WITH n AS (SELECT DISTINCT trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) AS k FROM part),
 w AS (SELECT k, unnest(string_split(k, ' ')) AS w FROM n), g AS (SELECT DISTINCT k, unnest([substr('  ' || w || ' ', i, 3) FOR i IN generate_series(1, length(w) + 1)]) AS g FROM w WHERE w <> ''),
 c AS (SELECT k, count(*) AS n FROM g GROUP BY 1)
 """
@@ -562,7 +565,7 @@ QUALIFY row_number() OVER (PARTITION BY l_key ORDER BY CAST(s AS DOUBLE) / (x.n
 )
 def trigram_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 8 most similar names of each name: the limit is the feature."""
-    names = read(spark, sf_dir, "part").where("p_partkey % 4 < 2").select(text.norm_text(F.col("p_name")).alias("k")).distinct()
+    names = read(spark, sf_dir, "part").select(text.norm_text(F.col("p_name")).alias("k")).distinct()
     return resolution.similar_names(names, names, "k", "k", least=0.5, k=8)
 
 
@@ -611,8 +614,7 @@ def pair_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = side("a").join(side("b"), ["p_brand", "p_type"]).where("a_partkey < b_partkey")
     total = F.col("a_partkey") + F.col("b_partkey")
     pairs = pairs.select(F.col("a_partkey").alias("a"), F.col("b_partkey").alias("b"), _records("a").alias("ra"), _records("b").alias("rb"), (total % 101 / 100).alias("sim"), (total % 3 != 0).alias("dist"))
-    s = resolution.pair_score(F.col("ra"), F.col("rb"), F.col("sim"), F.col("dist"), F.lit(False))
-    return pairs.select("a", "b", s.alias("s")).select("a", "b", "s.rule", "s.score", "s.decision")
+    return resolution.scored_pairs(pairs.withColumn("root", F.lit(False)), "ra", "rb", "sim", "dist", "root").select("a", "b", "rule", "score", "decision")
 
 
 @query()
@@ -624,32 +626,113 @@ def name_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH RECURSIVE k AS (SELECT doc_id AS card, 'n' || md5(substr(lower(text), 1, 40)) AS nif, 'd' || md5(right(lower(text), 40)) AS domain FROM documents),
-e AS (SELECT a, b FROM (SELECT min(card) OVER (PARTITION BY nif) AS a, card AS b FROM k UNION SELECT min(card) OVER (PARTITION BY domain), card FROM k) WHERE a < b),
+    r"""WITH RECURSIVE t AS (SELECT doc_id AS card, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS body, trim(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]+', ' ', 'g')) AS plain FROM documents),
+k AS (SELECT card, CASE WHEN body <> '' AND card % 3 <> 0 THEN 'n' || md5(body) END AS nif, CASE WHEN plain <> '' THEN 'd' || md5(plain) END AS domain FROM t),
+e AS (SELECT a, b FROM (SELECT min(card) OVER (PARTITION BY nif) AS a, card AS b FROM k WHERE nif IS NOT NULL UNION SELECT min(card) OVER (PARTITION BY domain), card FROM k WHERE domain IS NOT NULL) WHERE a < b),
 l AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT DISTINCT a AS card, a AS root FROM l UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.card)
 SELECT card, min(root) AS kept FROM r GROUP BY 1"""
 )
 def duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups of cards that share a number or a domain, which documents' first and last 40 characters play."""
-    low = F.lower("text")
-    cards = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("card"), F.concat(F.lit("n"), F.md5(F.substring(low, 1, 40))).alias("nif"), F.concat(F.lit("d"), F.md5(F.right(low, F.lit(40)))).alias("domain"), F.array().cast("array<string>").alias("phones"))
-    similar = spark.createDataFrame([], "a long, b long")
-    return resolution.duplicate_groups(resolution.duplicate_links(cards, similar))
+    """Groups of cards that share a number or a domain: digests of documents' whole texts, with spaces made one, and of their letters and digits."""
+    body, plain = F.trim(F.regexp_replace(F.lower("text"), r"\s+", " ")), text.norm_text(F.col("text"))
+    cards = read(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("card"),
+        F.when((body != "") & (F.col("doc_id") % 3 != 0), F.concat(F.lit("n"), F.md5(body))).alias("nif"),
+        F.when(plain != "", F.concat(F.lit("d"), F.md5(plain))).alias("domain"),
+        F.array().cast("array<string>").alias("phones"),
+    )
+    return resolution.duplicate_groups(resolution.duplicate_links(stored(cards, "cards"), spark.createDataFrame([], "a long, b long")))
 
 
 # Sources: records of our own in the forms that the sources deliver
 
 
-@query()
+@query(
+    """WITH o AS (SELECT o_orderkey AS k, o_custkey AS c, o_orderpriority AS p, o_orderkey % 3 AS m FROM orders)
+SELECT 'BOL-' || k AS issue, '20240102' AS published, CAST(k AS VARCHAR) AS act_id, 'EMPRESA ' || c || ' SL' AS name, 'constitucion' AS kinds, 'C/ MAYOR ' || k || ' - CP ' || (41000 + k % 1000) || ' (SEVILLA)' AS address,
+  CAST(41000 + k % 1000 AS VARCHAR) AS postal_code, 'SEVILLA' AS municipality, 'SE' || k AS sheet, 'Venta de ' || p AS purpose, (3000 + k % 9000) || ',00' AS capital,
+  'PERSONA ' || c || ':administrador_unico;OTRA ' || c || ':administrador_unico' AS people, CAST(NULL AS VARCHAR) AS state FROM o
+UNION ALL SELECT 'BOL-' || k, '20240102', CAST(k + 1 AS VARCHAR), 'SOCIEDAD ' || c, CASE m WHEN 0 THEN 'disolucion,extincion' WHEN 1 THEN 'cambio_domicilio' ELSE '' END,
+  CASE m WHEN 1 THEN 'AVDA. SOL ' || k || ' C.P.: 41.' || (100 + k % 900) || ' (CADIZ)' END, CASE m WHEN 1 THEN '41' || (100 + k % 900) END, CASE m WHEN 1 THEN 'CADIZ' END,
+  CASE m WHEN 0 THEN 'M' || k END, NULL, NULL, CASE m WHEN 0 THEN 'RUIZ ' || k || ':administrador_solidario;GIL ' || k || ':administrador_solidario' WHEN 1 THEN 'SAEZ ' || k || ':presidente'
+  ELSE 'POLO ' || k || ':consejero_delegado;MARI ' || k || ':consejero' END, CASE m WHEN 0 THEN 'disuelta' END FROM o"""
+)
 def gazette_acts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gazette.acts(spark.createDataFrame([(gazette.EXAMPLE,)], "xml string"))
+    """Acts of one listing an order, each with two acts and a paragraph without a heading."""
+    k, c, m = F.col("o_orderkey"), F.col("o_custkey"), F.col("o_orderkey") % 3
+    text_of = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
+    founded = text_of(
+        "Constitución. Objeto social: Venta de ", F.col("o_orderpriority"), ". Domicilio: C/ MAYOR ", k, " - CP ", k % 1000 + 41000, " (SEVILLA). Capital: ", k % 9000 + 3000,
+        ",00 Euros. Nombramientos. Adm. Unico: PERSONA ", c, ";OTRA ", c, ". Datos registrales. S 8 , H SE ", k, ", I/A 1.",
+    )
+    changed = (
+        F.when(m == 0, text_of("Disolución. Voluntaria. Extinción. Nombramientos. Adm. Solid.: RUIZ ", k, ";GIL ", k, ". Datos registrales. S 8 , H M", k, ", I/A 3."))
+        .when(m == 1, text_of("Cambio de domicilio social. AVDA. SOL ", k, " C.P.: 41.", k % 900 + 100, " (CADIZ). Otros conceptos: x. Presidente: SAEZ ", k, "."))
+        .otherwise(text_of("Nombramientos. Consejero: MARI ", k, ". Consejero Delegado: POLO ", k, "."))
+    )
+    xml = text_of(
+        "<documento><metadatos><identificador>BOL-", k, "</identificador><fecha_publicacion>20240102</fecha_publicacion></metadatos><texto>",
+        '<p class="parrafo">Preliminar.</p><p class="articulo">', k, " - EMPRESA ", c, ' SL.</p><p class="parrafo">', founded, '</p><p class="articulo">', k + 1, " - SOCIEDAD ", c,
+        '.</p><p class="parrafo">', changed, "</p></texto></documento>",
+    )
+    acts = gazette.acts(read(spark, sf_dir, "orders").select(xml.alias("xml")))
+    people = F.array_join(F.transform("people", lambda x: F.concat_ws(":", x["name"], x["role"])), ";")
+    return acts.withColumn("kinds", F.array_join("kinds", ",")).withColumn("people", people)
 
 
-@query()
+@query(
+    """WITH o AS (SELECT o_orderkey AS k, o_custkey AS c, o_orderkey % 5 AS m, o_totalprice AS amount FROM orders),
+n AS (SELECT * FROM (VALUES (0, 'ES618', 'Sevilla'), (1, 'ES211', 'Araba/Álava'), (2, 'ES61', NULL), (3, 'ES532', 'Illes Balears'), (4, 'ES630', 'Ciudad Autónoma de Ceuta')) AS t(m, nuts, province))
+SELECT 'https://t.example/' || k AS tender_id, 'Obra ' || k AS title, CASE WHEN k % 2 = 0 THEN '45210000' ELSE '72000000' END AS cpv, nuts, 'Ayuntamiento ' || c % 50 AS authority, province, '1' AS lot, '2024-01-05' AS awarded,
+  round(amount, 2) AS amount, 'B' || lpad(CAST(c AS VARCHAR), 8, '0') AS nif, 'Uno ' || c AS name, 'https://t.example/' || k || '#lote-1' AS external_id FROM o JOIN n USING (m)
+UNION ALL SELECT 'https://t.example/' || k, 'Obra ' || k, CASE WHEN k % 2 = 0 THEN '45210000' ELSE '72000000' END, nuts, 'Ayuntamiento ' || c % 50, province, NULL, NULL, NULL, 'A' || lpad(CAST(k AS VARCHAR), 8, '0'), 'Tres', 'https://t.example/' || k FROM o JOIN n USING (m) WHERE k % 4 = 0"""
+)
 def tender_lots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tender.lots(spark.createDataFrame([(tender.EXAMPLE,)], "xml string"))
+    """Lots of one entry an order: the first lot names its winner's number, the second does not, the third sometimes does."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    text_of = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
+    party = lambda scheme, number, name: ("<cac:WinningParty><cac:PartyIdentification><cbc:ID schemeName=\"", scheme, "\">", number, "</cbc:ID></cac:PartyIdentification><cac:PartyName><cbc:Name>", name, "</cbc:Name></cac:PartyName></cac:WinningParty>")
+    nuts = F.element_at(F.array(*map(F.lit, ["ES618", "ES211", "ES61", "ES532", "ES630"])), (k % 5 + 1).cast("int"))
+    xml = text_of(
+        "<entry><id>https://t.example/", k, "</id><title>Obra ", k, "</title><cac-place-ext:ContractFolderStatus><cac-place-ext:LocatedContractingParty><cac:Party><cac:PartyName><cbc:Name>Ayuntamiento ", c % 50,
+        "</cbc:Name></cac:PartyName></cac:Party></cac-place-ext:LocatedContractingParty><cac:ProcurementProject><cac:RequiredCommodityClassification><cbc:ItemClassificationCode>",
+        F.when(k % 2 == 0, "45210000").otherwise("72000000"), "</cbc:ItemClassificationCode></cac:RequiredCommodityClassification><cac:RealizedLocation><cbc:CountrySubentityCode>", nuts,
+        "</cbc:CountrySubentityCode></cac:RealizedLocation></cac:ProcurementProject><cac:TenderResult><cbc:AwardDate>2024-01-05</cbc:AwardDate>",
+        *party("NIF", F.concat(F.lit("B"), F.lpad(c.cast("string"), 8, "0")), F.concat(F.lit("Uno "), c.cast("string"))),
+        "<cac:AwardedTenderedProject><cbc:ProcurementProjectLotID>1</cbc:ProcurementProjectLotID><cac:LegalMonetaryTotal><cbc:PayableAmount currencyID=\"EUR\">", F.round("o_totalprice", 2),
+        "</cbc:PayableAmount></cac:LegalMonetaryTotal></cac:AwardedTenderedProject></cac:TenderResult><cac:TenderResult>", *party("UTE", k, "Dos"), "</cac:TenderResult><cac:TenderResult>",
+        *party("NIF", F.when(k % 4 == 0, F.concat(F.lit("A"), F.lpad(k.cast("string"), 8, "0"))).otherwise(""), "Tres"), "</cac:TenderResult></cac-place-ext:ContractFolderStatus></entry>",
+    )
+    return tender.lots(read(spark, sf_dir, "orders").select(xml.alias("xml")))
 
 
-@query()
+@query(
+    """WITH c AS (SELECT c_custkey AS k, c_name AS n, c_nationkey AS x FROM customer)
+SELECT 'node/' || k AS external_id, n AS name, 'Mayor ' || k AS address, lpad(CAST(k % 52000 AS VARCHAR), 5, '0') AS postal_code, 'Ciudad ' || x AS municipality, CAST(NULL AS VARCHAR) AS province, 36 + x / 10.0 AS lat, -5 - x / 10.0 AS lon,
+  '60' || k || ',61' || k AS phones, '' AS emails, CASE WHEN k % 2 = 0 THEN 'https://c' || k || '.example' END AS web FROM c
+UNION ALL SELECT 'way/' || k, 'Marca ' || x, 'Sol', NULL, NULL, 'Provincia', CAST(37.5 AS DOUBLE), CAST(-5.25 AS DOUBLE), '', 'a@c' || k || '.example', NULL FROM c"""
+)
 def map_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return items.map_elements(spark.createDataFrame([(items.EXAMPLE,)], "json string"))
+    """Elements of one response a customer: a node, a way named by its brand, and a node without a name."""
+    k, x = F.col("c_custkey"), F.col("c_nationkey")
+    s = lambda c: c.cast("string")
+    tags = lambda *pairs: F.map_filter(F.create_map(*[y for name, v in pairs for y in (F.lit(name), v)]), lambda _, v: v.isNotNull())
+    element = lambda kind, lat, lon, center, held: F.struct(F.lit(kind).alias("type"), k.alias("id"), lat.alias("lat"), lon.alias("lon"), center.alias("center"), held.alias("tags"))
+    none = F.lit(None).cast("double")
+    place = lambda lat, lon: F.struct(lat.alias("lat"), lon.alias("lon"))
+    node = tags(
+        ("name", F.col("c_name")), ("addr:street", F.lit("Mayor")), ("addr:housenumber", s(k)), ("addr:postcode", F.lpad(s(k % 52000), 5, "0")), ("addr:city", F.concat(F.lit("Ciudad "), s(x))),
+        ("phone", F.concat(F.lit("60"), s(k), F.lit("; 61"), s(k))), ("website", F.when(k % 2 == 0, F.concat(F.lit("https://c"), s(k), F.lit(".example")))),
+    )
+    way = tags(("name", F.lit(" ")), ("brand", F.concat(F.lit("Marca "), s(x))), ("addr:street", F.lit("Sol")), ("addr:province", F.lit("Provincia")), ("contact:email", F.concat(F.lit("a@c"), s(k), F.lit(".example"))))
+    response = F.to_json(
+        F.struct(
+            F.array(
+                element("node", x / 10 + 36, -5 - x / 10, place(none, none), node),
+                element("way", none, none, place(F.lit(37.5), F.lit(-5.25)), way),
+                element("node", F.lit(37.0), F.lit(-5.0), place(none, none), tags(("craft", F.lit("builder")))),
+            ).alias("elements")
+        )
+    )
+    found = items.map_elements(read(spark, sf_dir, "customer").select(response.alias("json")))
+    return found.withColumn("phones", F.array_join("phones", ",")).withColumn("emails", F.array_join("emails", ","))

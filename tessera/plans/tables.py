@@ -6,10 +6,6 @@ channels and roles, suppliers' lines their conflicts.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
-from contextvars import ContextVar
-
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -57,7 +53,7 @@ DERIVED = {
                     WHEN '4' THEN 'Contacto' ELSE 'Vendedor' END AS role,
                CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderkey % 5 <> 1 END AS current,
                o_orderdate AS seen_at
-        FROM orders WHERE o_orderkey % 3 <> 1""",
+        FROM orders""",
     ),
     "conflicts": (
         "lineitem",
@@ -84,35 +80,13 @@ DERIVED = {
         """SELECT CAST(user_id AS STRING) AS entity, CASE WHEN event_id % 2 = 0 THEN 'web' ELSE 'razon_social' END AS field, event_type AS value,
                concat('g', CAST(event_id % 4 AS STRING)) AS source_group, (event_id % 9) / 10.0 AS confidence, ts AS observed_at,
                event_id % 37 = 0 AS official, concat(event_type, ' ', CAST(event_id AS STRING)) AS original
-        FROM events WHERE event_id % 3 = 0""",
+        FROM events""",
     ),
 }
 
 
-# The derived tables that leave ids out, without that filter.
-WHOLE = {name: (DERIVED[name][0], DERIVED[name][1].rpartition(" WHERE ")[0]) for name in ("roles", "observations")}
-_from = ContextVar("derived tables", default=DERIVED)
-
-
-@contextmanager
-def whole() -> Iterator[None]:
-    """Inside, derived() reads every row of its source."""
-    token = _from.set(DERIVED | WHOLE)
-    try:
-        yield
-    finally:
-        _from.reset(token)
-
-
-def whole_sql(sql: str) -> str:
-    """A query's SQL over the whole tables."""
-    for name, (_, text) in WHOLE.items():
-        sql = sql.replace(DERIVED[name][1], text)
-    return sql
-
-
 def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    source, sql = _from.get()[name]
+    source, sql = DERIVED[name]
     return spark.sql(sql.replace(f"FROM {source}", "FROM {src}"), src=read(spark, sf_dir, source))
 
 

@@ -1,4 +1,4 @@
-"""Queries over whole tables, beside those whose SQL reads a part of the ids; that SQL is held fixed."""
+"""Queries on texts of cards, and names that earlier versions gave to queries over whole tables."""
 
 from __future__ import annotations
 
@@ -8,30 +8,16 @@ from pyspark.sql import functions as F
 from tessera.functions import text
 from tessera.operators import resolution
 from tessera.plans.queries import QUERIES, SQL, query
-from tessera.plans.tables import derived, read, whole, whole_sql
+from tessera.plans.tables import derived, read
 from tessera.storage import stored
 
 
-@query(SQL["trigram_top_k"].replace(" WHERE p_partkey % 4 < 2", ""))
-def trigram_top_k_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 8 most similar names of each name of the whole table: the limit is the feature."""
-    names = read(spark, sf_dir, "part").select(text.norm_text(F.col("p_name")).alias("k")).distinct()
-    return resolution.similar_names(names, names, "k", "k", least=0.5, k=8)
-
-
-def _all(name: str) -> None:
-    """Register a query once more, over all orders and events."""
-
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        with whole():
-            return QUERIES[name](spark, sf_dir)
-
-    run.__name__ = f"{name}_all"
-    query(whole_sql(SQL[name]) if name in SQL else None)(run)
-
-
-for _name in [n for n, sql in SQL.items() if whole_sql(sql) != sql]:
-    _all(_name)
+# Every query reads whole tables; these names stay for those who call them.
+for _name in ["trigram_top_k", "field_consolidation", "conflict_classes", "representative_text", "observation_history", "value_details", "golden_rows", "state_changes", "ranked_results", "results_page", "results_summary", "role_priority"]:
+    if _name in QUERIES:
+        QUERIES[f"{_name}_all"] = QUERIES[_name]
+        if _name in SQL:
+            SQL[f"{_name}_all"] = SQL[_name]
 
 
 def text_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
