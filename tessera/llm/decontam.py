@@ -3,9 +3,9 @@
 A passage that matches an item of m characters with at most k edits keeps all
 but k * q of the item's m - q + 1 places of q-grams, within k + 1 adjacent
 diagonals. An edit spoils only one of several places that don't overlap, so of
-any k + 1 such places one is kept: each item is found by its rarest ones, and a
+any n such places n - k are kept: each item is found by its rarest ones, and a
 stem that many items share doesn't crowd the search. Diagonals are cut into bands of width 2(k + 1) that overlap by half, so any k + 1 of them lie in
-one band. In each band that a rare place leads to, all shared places of the
+one band. In each band that enough rare places lead to, all shared places of the
 item are counted; a region that keeps the lemma's count, m - q + 1 - k * q, is
 verified by an edit-distance alignment inside its band. Texts and items are
 brought to one form first (lower case, single spaces, UTF-8): lengths,
@@ -43,6 +43,8 @@ EDIT_RATE = 0.05
 #: Text of the items that one pass holds in a task.
 BLOCK_BYTES = 4 << 20
 FILTER_BITS = 22
+#: Places of an item that so many items have, or fewer, may be looked for beyond those that are needed.
+FEW = 4
 #: Hits of rare places that are held at once, about, and places of a text that are looked up at once.
 HITS, PLACES = 1 << 20, 1 << 16
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -81,8 +83,13 @@ class ItemIndex:
         _, which, uses = np.unique(keys, return_inverse=True, return_counts=True)
         order = np.lexsort((place, uses[which], item))
         bounds = np.searchsorted(item[order], np.arange(len(found) + 1))
-        chosen = [order[a + _rarest(place[order[a:b]], k)] for a, b, k in zip(bounds, bounds[1:], self.edits.tolist())]
-        rare = np.concatenate(chosen or [np.zeros(0, np.int64)])
+        chosen, enough = [np.zeros(0, np.int64)], []
+        for a, b, k in zip(bounds, bounds[1:], self.edits.tolist()):
+            which_, least = _rarest(place[order[a:b]], uses[which[order[a:b]]], k)
+            chosen.append(order[a + which_])
+            enough.append(least)
+        self.enough = np.array(enough, np.int64)
+        rare = np.concatenate(chosen)
         rare = rare[np.argsort(keys[rare], kind="stable")]
         self.keys, self.item, self.place = keys[rare], item[rare], place[rare]
         self.filter = np.zeros(1 << FILTER_BITS, bool)
@@ -92,14 +99,14 @@ class ItemIndex:
     def _slot(keys: np.ndarray) -> np.ndarray:
         return (keys * _MIX) >> np.uint64(64 - FILTER_BITS)
 
-    def bands(self, keys: np.ndarray) -> np.ndarray:
-        """(item, shift, band) rows, each once: the bands of a text's diagonals that a rare place of an item leads to."""
-        out = [np.zeros((0, 3), np.int64)]
+    def bands(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(item and shift as 2 * item + shift, band), ascending: the bands of a text's diagonals that enough rare places of an item lead to."""
+        seen, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for base in range(0, len(keys), PLACES):
             part = keys[base : base + PLACES]
             at = np.flatnonzero(self.filter[self._slot(part)])
-            low, high = np.searchsorted(self.keys, part[at], "left"), np.searchsorted(self.keys, part[at], "right")
-            n = high - low
+            low = np.searchsorted(self.keys, part[at], "left")
+            n = np.searchsorted(self.keys, part[at], "right") - low
             at, low, n = at[n > 0] + base, low[n > 0], n[n > 0]
             total = np.cumsum(n)
             cuts = np.r_[0, np.searchsorted(total, np.arange(HITS, int(total[-1]) + HITS, HITS), "left") + 1] if len(n) else []
@@ -109,24 +116,30 @@ class ItemIndex:
                 item = self.item[slot].astype(np.int64)
                 diagonal = np.repeat(at[a:b], size) - self.place[slot] + self.lengths[item]
                 step = self.edits[item] + 1
-                out += [np.unique(np.stack([item, np.full(len(item), s), (diagonal + s * step) // (2 * step)], 1), axis=0) for s in (0, 1)]
-        return np.unique(np.concatenate(out), axis=0)
+                codes = [(2 * item + s << 32) | (diagonal + s * step) // (2 * step) for s in (0, 1)]
+                fresh, m = np.unique(np.concatenate(codes), return_counts=True)
+                seen, back = np.unique(np.concatenate([seen, fresh]), return_inverse=True)
+                counts = np.bincount(back, np.r_[counts, m], len(seen)).astype(np.int64)
+        # a place that repeats counts more than once here: the exact count follows
+        seen = seen[counts >= self.enough[seen >> 33]]
+        return seen >> 32, seen & 0xFFFFFFFF
 
     def matches(self, data: bytes) -> list[tuple[object, int, int, int]]:
         """(item, start, end, edits) of every place that matches an item within its budget."""
         keys = grams(data)
         if not len(keys) or not len(self.keys):
             return []
-        bands = self.bands(keys)
+        shifted, bands = self.bands(keys)
+        item = shifted >> 1
         out = []
-        starts = np.flatnonzero(np.r_[True, np.diff(bands[:, 0]) != 0, True]) if len(bands) else []
+        starts = np.flatnonzero(np.r_[True, np.diff(item) != 0, True]) if len(item) else []
         for a, b in zip(starts[:-1], starts[1:]):
-            which = int(bands[a, 0])
-            for m in self._places(data, keys, which, bands[a:b, 1:].tolist()):
+            which = int(item[a])
+            for m in self._places(data, keys, which, list(zip((shifted[a:b] & 1).tolist(), bands[a:b].tolist()))):
                 out += [(name, *m) for name in self.names[which]]
         return out
 
-    def _places(self, data: bytes, keys: np.ndarray, which: int, bands: list[list[int]]) -> list[tuple[int, int, int]]:
+    def _places(self, data: bytes, keys: np.ndarray, which: int, bands: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
         target, k = self.texts[which], int(self.edits[which])
         own, step = grams(target), k + 1
         need = max(1, len(own) - k * Q)
@@ -142,16 +155,23 @@ class ItemIndex:
         return _apart(sorted(found))
 
 
-def _rarest(places: np.ndarray, edits: int) -> np.ndarray:
-    """Which of an item's places, the rarest first, always leave one in a match: edits + 1 apart, or edits * Q + 1 of any."""
+def _rarest(places: np.ndarray, uses: np.ndarray, edits: int) -> tuple[np.ndarray, int]:
+    """Which of an item's places, the rarest first, it is found by, and how many of them any match keeps.
+
+    An edit spoils at most one of several places that don't overlap: edits + 1 of
+    them, and as many more as hardly any other item has. Where an item is too short
+    for so many, an edit spoils at most Q of any places.
+    """
     taken, chosen = np.zeros(len(places) + 2 * Q, bool), []
-    for i, place in enumerate(places.tolist()):
+    for i, (place, n) in enumerate(zip(places.tolist(), uses.tolist())):
+        if len(chosen) > edits and (n > FEW or len(chosen) > 2 * edits + 1):
+            break
         if not (taken[place] or taken[place + Q - 1]):
             taken[place : place + Q] = True
             chosen.append(i)
-            if len(chosen) > edits:
-                return np.array(chosen)
-    return np.arange(min(len(places), edits * Q + 1))
+    if len(chosen) > edits:
+        return np.array(chosen), len(chosen) - edits
+    return np.arange(min(len(places), edits * Q + 1)), 1
 
 
 def _shared(own: np.ndarray, keys: np.ndarray, low: int, width: int, enough: int) -> int:

@@ -274,7 +274,7 @@ def test_decontamination_stem_that_many_items_share():
     items = [(i, f"{stem} {word(120)}".encode()) for i in range(20_000)]
     index = decontam.ItemIndex(items, decontam.EDIT_RATE)
     text = decontam.plain(" ".join([stem] * 5) + " " + items[77][1].decode() + " " + word(50))
-    assert len(index.bands(decontam.grams(text))) < 100  # the stem leads nowhere
+    assert len(index.bands(decontam.grams(text))[0]) < 100  # the stem leads nowhere
     assert [m[0] for m in index.matches(text)] == [77]
 
 
