@@ -27,6 +27,8 @@ from tessera.llm._common import stored, text_udf
 from tessera.operators.graph import components
 
 SEED = 42
+#: Ids that a join may broadcast, after they have been counted.
+BROADCAST_IDS = 1 << 20
 
 
 def fingerprint(text: str | None, words: int) -> int:
@@ -113,11 +115,18 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", **opt
 
 
 def first_rows(docs: DataFrame, classes: DataFrame, key: str) -> DataFrame:
-    """The rows of ``docs`` whose ``key`` is its class's ``component_id``, one each, and those with a null key."""
-    kept = classes.where(F.col(key) == F.col("component_id")).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    kept = stored(kept, "kept")
-    alone = docs.join(kept.where("_n = 1").select(key), key, "left_semi")
-    out = alone
-    if kept.where("_n > 1").limit(1).count():
-        out = out.unionByName(docs.join(kept.where("_n > 1").select(key), key, "left_semi").dropDuplicates([key]))
-    return out.unionByName(docs.where(F.col(key).isNull())).select(*docs.columns)
+    """The rows of ``docs`` but those whose ``key`` is not its class's ``component_id``; of rows that repeat a key one stays, with a null key all.
+
+    Only ids are shuffled to find the few that go. Their number is counted: up to
+    ``BROADCAST_IDS`` they are broadcast and no text moves, beyond it the texts are
+    shuffled by id.
+    """
+    own = F.col(key) == F.col("component_id")
+    ids = classes.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(own).alias("_own"), F.count(F.lit(1)).alias("_n"))
+    ids = stored(ids.where("not _own or _n > 1"), "ids")
+    counts = ids.agg(F.count(F.lit(1)).alias("gone"), F.count_if("_own").alias("again")).first()
+    sized = F.broadcast if counts["gone"] <= BROADCAST_IDS else (lambda df: df)
+    out = docs.join(sized(ids.select(key)), key, "left_anti")
+    if counts["again"]:
+        out = out.unionByName(docs.join(sized(ids.where("_own").select(key)), key, "left_semi").dropDuplicates([key]).select(*docs.columns))
+    return out.select(*docs.columns)
