@@ -322,7 +322,7 @@ def phone_normalisation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     r"""WITH h AS (SELECT page_id, url, regexp_replace(regexp_extract(regexp_replace(lower(trim(url)), '^[a-z]+://', ''), '^[^/?#:]*'), '^www\.', '') AS host FROM pages),
 p AS (SELECT *, string_split(host, '.') AS s, regexp_extract(url, '^(https?://[^/?#]+)', 1) AS site,
-  list_filter(string_split(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '/'), x -> x <> '') AS folders FROM h)
+  [f FOR f IN string_split(regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1), '/') IF f <> ''] AS folders FROM h)
 SELECT page_id, CASE WHEN regexp_full_match(host, '[a-z0-9.-]+\.[a-z0-9.-]+') THEN s[-2] || '.' || s[-1] END AS domain, CASE WHEN site = '' OR len(folders) = 0 THEN NULL
    WHEN regexp_full_match(folders[1], '[a-z]{2}([_-][a-zA-Z]{2})?') THEN CASE WHEN len(folders) > 1 THEN site || '/' || folders[1] || '/' END ELSE site || '/' END AS root,
    regexp_matches(url, '(?i)/(ficha|directorio|listing)/[^/?#]+') AS directory FROM p"""
