@@ -13,9 +13,10 @@ blocks of bounded size to all shards; each shard answers with its k nearest and
 the k best of these remain. Final scores are inner products of the original
 vectors in double precision; ties go to the smaller id.
 
-Nulls and edge cases: vectors that are null, zero, of another than the most
-frequent length, or hold null or non-finite components take no part, nor do rows
-with a null id. A query is never its own neighbour; rows that repeat its id are
+Nulls and edge cases: vectors that are null or zero, or hold null or non-finite
+components take no part, nor do rows with a null id. Vectors of different lengths
+have no inner product: each length, of which a table has few, is searched by
+itself. A query is never its own neighbour; rows that repeat its id are
 left out with it, and of other repeated ids each row counts. With fewer than k
 candidates all are returned. An empty table gives an empty result.
 """
@@ -25,6 +26,7 @@ from __future__ import annotations
 import math
 import pickle
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -163,10 +165,7 @@ def usable(vectors: DataFrame, key: str, column: str) -> DataFrame:
     """(vec_id, v) of the rows that take part."""
     odd = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
     rows = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(column).alias("v"))
-    rows = rows.where("vec_id is not null and v is not null").where(~odd & F.exists("v", lambda x: x != 0))
-    sizes = rows.groupBy(F.size("v").alias("n")).count()
-    usual = sizes.orderBy(F.desc("count"), "n").limit(1).collect()
-    return rows.where(F.size("v") == (usual[0]["n"] if usual else 0))
+    return rows.where("vec_id is not null and v is not null").where(~odd & F.exists("v", lambda x: x != 0))
 
 
 def _packed(rows: DataFrame, parts: int, name: str, make) -> DataFrame:
@@ -191,6 +190,13 @@ def nearest(
     ``is_query`` is a condition on ``vec_id``; all other rows of the table are its candidates.
     """
     rows = stored(usable(vectors, key, column), "vectors")
+    lengths = sorted(r["n"] for r in rows.select(F.size("v").alias("n")).distinct().collect())
+    found = [_nearest(rows.where(F.size("v") == n), is_query, k, factor, shard_rows) for n in lengths or [0]]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _nearest(rows: DataFrame, is_query: Column, k: int, factor: float, shard_rows: int) -> DataFrame:
+    """``nearest`` among usable vectors of one length."""
     square = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x)
     queries = rows.where(is_query)
     totals = rows.agg(F.count(F.lit(1)).alias("n"), F.max(square).alias("top")).first()

@@ -483,6 +483,13 @@ def test_nearest_where_query_ids_repeat(monkeypatch):
     assert [i for i, _ in found] == [i for _, i in wanted] == [100, 101, 102, 103, 104]
 
 
+def test_nearest_of_vectors_of_each_length(spark):
+    rows = [(0, [1.0, 0.0]), (1, [0.5, 0.0]), (5, [1.0, 1.0, 1.0]), (6, [0.0, 2.0, 0.0]), (7, [0.0, 1.0, 0.0]), (10, [3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    found = [tuple(r) for r in vptree.nearest(df, F.col("vec_id") % 5 == 0).collect()]
+    assert sorted(found) == [(0, 1, 1, 0.5), (5, 1, 6, 2.0), (5, 2, 7, 1.0)]
+
+
 def test_nearest_small_tables(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert vptree.nearest(empty, F.col("vec_id") % 5 == 0).count() == 0
