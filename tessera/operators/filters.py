@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import place_key, strip_accents
+from tessera.functions.text import place_key, strip_accents, unordered_key
 from tessera.operators.evidence import DEAD_STATES
 
 #: Zones from the most to the least precise; only the first one asked for applies.
@@ -100,7 +100,10 @@ def search(companies: DataFrame, f: Filters, sites: DataFrame, channels: DataFra
     out = companies.where(row_predicate(f))
     if zone := zone_of(f, zones):
         column = {"postal_codes": "postal_code", "provinces": "province", "municipalities": "municipality", "regions": "region"}[zone[0]]
-        out = out.join(sites.where(F.col("active") & F.col(column).isin(*zone[1])), "company_id", "left_semi")
+        inside = F.col(column).isin(*zone[1])
+        if column == "region":  # a region's name may stand in another order
+            inside = unordered_key(F.col(column)).isin(*[unordered_key(F.lit(name)) for name in zone[1]])
+        out = out.join(sites.where(F.col("active") & inside), "company_id", "left_semi")
     if f.needs_phone:
         out = out.join(channels.where((F.col("kind") == "phone") & (F.col("state") != "invalid")), "company_id", "left_semi")
     if f.needs_generic_email:
