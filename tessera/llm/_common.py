@@ -26,13 +26,15 @@ def text_udf(make: Callable[[], Callable[[list], list]], returns: T.DataType) ->
     kind = to_arrow_type(returns)
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        score = make()
+        score, pool = make(), pa.default_memory_pool()
         for batch in batches:
             parts = [
                 pa.array(score(batch.slice(at, SLICE_ROWS).to_pylist()), kind)
                 for at in range(0, len(batch), SLICE_ROWS)
             ]
             yield pa.concat_arrays(parts) if parts else pa.array([], kind)
+            del batch, parts
+            pool.release_unused()  # a worker serves many tasks: freed batches go back to the machine
 
     return F.arrow_udf(run, returns).asNondeterministic()
 
