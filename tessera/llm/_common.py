@@ -39,6 +39,22 @@ def text_udf(make: Callable[[], Callable[[list], list]], returns: T.DataType) ->
     return F.arrow_udf(run, returns).asNondeterministic()
 
 
+def slices_udf(score: Callable[..., pa.Array], returns: T.DataType) -> Callable[..., Column]:
+    """Arrow UDF over several columns; ``score`` gets each as a list, in slices of bounded length."""
+    kind = to_arrow_type(returns)
+
+    def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        pool = pa.default_memory_pool()
+        for columns in batches:
+            cuts = range(0, len(columns[0]), SLICE_ROWS)
+            parts = [score(*[c.slice(at, SLICE_ROWS).to_pylist() for c in columns]) for at in cuts]
+            yield pa.concat_arrays(parts) if parts else pa.array([], kind)
+            del columns, parts
+            pool.release_unused()
+
+    return F.arrow_udf(run, returns).asNondeterministic()
+
+
 def fold(key: str, parts: int) -> Column:
     """crc32 of the key's text modulo ``parts``; null for a null key."""
     return F.crc32(F.col(key).cast("string").cast("binary")) % parts

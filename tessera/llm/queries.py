@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat, decontam, langid, quality, rollup, simhash, tokenfile, toxicity, vptree
+from tessera.llm import align, bpe, chat, decontam, fim, langid, pii, quality, rollup, simhash, tokenfile, toxicity, vptree
 from tessera.llm._common import fold, new_path, stored
 
 END_ID = 2
@@ -150,14 +150,66 @@ def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read(spark, out).withColumnRenamed("key", "doc_id")
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) of every document."""
+    files = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    aligned = align.aligned(table(spark, sf_dir, "documents").select("doc_id", "text"), *files)
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256)).alias("groups_sha256")
+    return align.weighed(aligned.select(*[c for c in aligned.columns if c != "groups"], digest)).select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"
+    )
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n, form, prefix_chars, middle_chars, output_sha256, restored_sha256) of every document."""
+    made = fim.examples(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    made = made.select("doc_id", "fim.*")
+    back = fim.restored(F.col("output"), F.col("form"))
+    return made.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256")
+    )
+
+
+OP12_SQL = r"""
+WITH l AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS lines,
+         sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+  FROM documents),
+c AS (
+  SELECT *, len(lines) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (len(lines) + 1) AS c1,
+         CAST('0x' || substr(h, 9, 8) AS BIGINT) % (len(lines) + 1) AS c2,
+         CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 AS spm,
+         text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') AS plain
+  FROM l),
+p AS (
+  SELECT *, array_to_string(lines[1:least(c1, c2)], '') AS prefix,
+         array_to_string(lines[least(c1, c2) + 1:greatest(c1, c2)], '') AS middle,
+         array_to_string(lines[greatest(c1, c2) + 1:], '') AS suffix
+  FROM c)
+SELECT doc_id, n, CASE WHEN plain THEN 'plain' WHEN spm < 50 THEN 'spm' ELSE 'psm' END AS form,
+       CASE WHEN NOT plain THEN length(prefix) END AS prefix_chars,
+       CASE WHEN NOT plain THEN length(middle) END AS middle_chars,
+       sha256(CASE WHEN plain THEN text WHEN spm < 50 THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle
+                   ELSE '<P>' || prefix || '<S>' || suffix || '<M>' || middle END) AS output_sha256,
+       sha256(prefix || middle || suffix) AS restored_sha256
+FROM p
+"""
+
+
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) of every document."""
+    found = pii.spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", *[f"n_{k}" for k in pii.KINDS], F.sha2("base", 256).alias("base_sha256"), F.concat_ws(",", F.nullif("base", F.lit("")), F.nullif("terms", F.lit(""))).alias("spans"))
+
+
 def queries() -> dict:
     import corpus_pipeline
 
-    found = [op1_toxicity, op2_simhash, op3_decontamination, op4_language_id, op5_bpe, op6_token_counts, op7_quality, op8_nearest, op9_chat, op10_token_file]
+    found = [op1_toxicity, op2_simhash, op3_decontamination, op4_language_id, op5_bpe, op6_token_counts, op7_quality, op8_nearest, op9_chat, op10_token_file, op11_alignment, op12_fill_in_middle, op13_pii]
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
-    return {"op6_token_counts": OP6_SQL, "op9_chat": OP9_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return {"op6_token_counts": OP6_SQL, "op9_chat": OP9_SQL, "op12_fill_in_middle": OP12_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
