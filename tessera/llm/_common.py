@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +15,8 @@ from tessera.storage import new_path, stored  # noqa: F401
 
 #: Rows that a per-row function sees at once; bounds Python memory beside long texts.
 SLICE_ROWS = 256
+#: Bits of a filter of ids: 8 MB, whatever the number of ids.
+FILTER_BITS = 1 << 26
 
 
 def text_udf(make: Callable[[], Callable[[list], list]], returns: T.DataType) -> Callable[..., Column]:
@@ -55,11 +58,43 @@ def slices_udf(score: Callable[..., pa.Array], returns: T.DataType) -> Callable[
     return F.arrow_udf(run, returns).asNondeterministic()
 
 
+def id_filter(ids: DataFrame, key: str, bits: int = FILTER_BITS) -> Callable[[Column], Column]:
+    """Condition that holds for all ids of ``ids`` and for few others, made of a bitmap of fixed size.
+
+    It tells which rows of a large table need to be looked up in ``ids``: the
+    others stay where they are. The more ids, the more rows pass by chance; the
+    condition is right at every size.
+    """
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    words = ids.select(bit(F.col(key)).alias("b")).groupBy(F.shiftright("b", 3).alias("w"))
+    words = words.agg(F.bit_or(F.call_function("shiftleft", F.lit(1), (F.col("b") % 8).cast("int"))).cast("short").alias("m")).toArrow()  # bits / 8 rows at most
+    bitmap = np.zeros(bits // 8, np.uint8)
+    bitmap[words.column("w").to_numpy()] = words.column("m").to_numpy()
+    shared = ids.sparkSession.sparkContext.broadcast(bitmap)
+
+    def held(places: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        bitmap = shared.value
+        for part in places:
+            at = part.to_numpy(zero_copy_only=False)
+            yield pa.array((bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
+
+    udf = F.arrow_udf(held, T.BooleanType())
+    return lambda c: udf(bit(c))
+
+
 def fold(key: str, parts: int) -> Column:
     """crc32 of the key's text modulo ``parts``; null for a null key."""
     return F.crc32(F.col(key).cast("string").cast("binary")) % parts
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or with as many underscores before it as no column of ``df`` is called."""
+    held = {c.lower() for c in df.columns}
+    while name.lower() in held:
+        name = f"_{name}"
+    return name
+
+
 def unit_hash(*keys: str) -> Column:
     """A number in [0, 1) that depends on the keys only."""
     return F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(1 << 30)) / float(1 << 30)

@@ -15,7 +15,7 @@ A match is the best place of an item in a region, fewest edits first, then the
 earliest; of places of one item that overlap, only the best is a match.
 
 The items go to the tasks as an index of bounded size: the table is cut into
-blocks of at most ``BLOCK_BYTES`` of text, and each block is one pass over the
+blocks of at most ``BLOCK_CHARS`` of text, and each block is one pass over the
 documents, whatever the table's size. Items of one text share an entry.
 
 Nulls and edge cases: null or empty texts match nothing, and null or empty items
@@ -27,6 +27,7 @@ key comes out as ``item_`` and that name.
 
 from __future__ import annotations
 
+import uuid
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -40,8 +41,8 @@ from tessera.llm._common import text_udf
 Q = 8
 #: Edits allowed, as a part of the item's length.
 EDIT_RATE = 0.05
-#: Text of the items that one pass holds in a task.
-BLOCK_BYTES = 4 << 20
+#: Characters of the items that one pass holds in a task.
+BLOCK_CHARS = 4 << 20
 FILTER_BITS = 22
 #: Places of an item that so many items have, or fewer, may be looked for beyond those that are needed.
 FEW = 4
@@ -50,15 +51,33 @@ HITS, PLACES = 1 << 20, 1 << 16
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def plain(text: str | None) -> bytes:
-    return " ".join((text or "").lower().split()).encode()
+def plain(text: str | None) -> str:
+    return " ".join((text or "").lower().split())
 
 
-def grams(data: bytes) -> np.ndarray:
-    """Every 8-byte window as a number."""
-    if len(data) < Q:
+def letters(data: str) -> np.ndarray:
+    """The characters as numbers: one byte each where all are below 256, else four."""
+    try:
+        return np.frombuffer(data.encode("latin-1"), np.uint8)
+    except UnicodeEncodeError:
+        return np.frombuffer(data.encode("utf-32-le", "surrogatepass"), "<u4")
+
+
+def grams(data: str) -> np.ndarray:
+    """Every window of 8 characters as a number: the sum of the characters, each 8 bits above the one before.
+
+    Windows of characters below 256 are their bytes, in a narrow and in a wide
+    text alike. Others may share a number, which can only add places to verify.
+    """
+    found, n = letters(data), len(data) - Q + 1
+    if n < 1:
         return np.zeros(0, np.uint64)
-    return np.ndarray((len(data) - Q + 1,), "<u8", data, strides=(1,)).astype(np.uint64)
+    if found.dtype == np.uint8:
+        return np.ndarray((n,), "<u8", found, strides=(1,)).astype(np.uint64)
+    wide, out = found.astype(np.uint64), np.zeros(n, np.uint64)
+    for i in range(Q):
+        out += wide[i : i + n] << np.uint64(8 * i)
+    return out
 
 
 def budget(length: int, rate: float) -> int:
@@ -69,8 +88,8 @@ def budget(length: int, rate: float) -> int:
 class ItemIndex:
     """The rarest q-grams of each of a block's items, and a bit filter over them."""
 
-    def __init__(self, items: list[tuple[object, bytes]], rate: float):
-        names: dict[bytes, list] = {}
+    def __init__(self, items: list[tuple[object, str]], rate: float):
+        names: dict[str, list] = {}
         for key, data in items:
             names.setdefault(data, []).append(key)
         self.texts, self.names = list(names), list(names.values())
@@ -124,7 +143,7 @@ class ItemIndex:
         seen = seen[counts >= self.enough[seen >> 33]]
         return seen >> 32, seen & 0xFFFFFFFF
 
-    def matches(self, data: bytes) -> list[tuple[object, int, int, int]]:
+    def matches(self, data: str) -> list[tuple[object, int, int, int]]:
         """(item, start, end, edits) of every place that matches an item within its budget."""
         keys = grams(data)
         if not len(keys) or not len(self.keys):
@@ -139,7 +158,7 @@ class ItemIndex:
                 out += [(name, *m) for name in self.names[which]]
         return out
 
-    def _places(self, data: bytes, keys: np.ndarray, which: int, bands: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    def _places(self, data: str, keys: np.ndarray, which: int, bands: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
         target, k = self.texts[which], int(self.edits[which])
         own, step = grams(target), k + 1
         need = max(1, len(own) - k * Q)
@@ -200,12 +219,12 @@ def _apart(found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     return kept
 
 
-def align(item: bytes, text: bytes, width: int, below: int = 0) -> tuple[int, int, int] | None:
+def align(item: str, text: str, width: int, below: int = 0) -> tuple[int, int, int] | None:
     """(start, end, edits) of the best place of ``item`` in ``text``, within ``width`` diagonals.
 
-    Cell (i, d) is the item's first i bytes against the text up to i + d: a band
-    of diagonals from ``-below`` on, one numpy row for each byte of the item.
-    Diagonals under 0 serve places at the text's start that lack bytes of the item.
+    Cell (i, d) is the item's first i characters against the text up to i + d: a band
+    of diagonals from ``-below`` on, one numpy row for each character of the item.
+    Diagonals under 0 serve places at the text's start that lack characters of the item.
     """
     at = text.find(item)
     if at >= 0:
@@ -214,7 +233,7 @@ def align(item: bytes, text: bytes, width: int, below: int = 0) -> tuple[int, in
     if not text:
         return None
     far = n + len(text) + width + 1
-    letters = np.frombuffer(text, np.uint8)
+    own, there = letters(item), letters(text)
     places, diagonals = np.arange(width), np.arange(width) - below
     cost = np.where((diagonals >= 0) & (diagonals <= len(text)), 0, far)
     start = diagonals.copy()
@@ -223,12 +242,12 @@ def align(item: bytes, text: bytes, width: int, below: int = 0) -> tuple[int, in
         inside = (end >= 0) & (end <= len(text))
         same = np.zeros(width, bool)
         on = inside & (end >= 1)
-        same[on] = letters[end[on] - 1] == item[i - 1]
+        same[on] = there[end[on] - 1] == own[i - 1]
         swap = np.where(end >= 1, cost + ~same, far)
-        over = np.r_[cost[1:], far] + 1  # a byte of the item without a partner
+        over = np.r_[cost[1:], far] + 1  # a character of the item without a partner
         value = np.where(inside, np.minimum(swap, over), far)
         begin = np.where(swap <= over, start, np.r_[start[1:], 0])
-        # a byte of the text without a partner: a running minimum along the row
+        # a character of the text without a partner: a running minimum along the row
         ranked = value - diagonals
         least = np.minimum.accumulate(ranked)
         source = np.maximum.accumulate(np.where(ranked == least, places, 0))
@@ -237,13 +256,13 @@ def align(item: bytes, text: bytes, width: int, below: int = 0) -> tuple[int, in
     return (int(start[best]), n + int(diagonals[best]), int(cost[best])) if cost[best] < far else None
 
 
-def _blocks(items: DataFrame, item_key: str, text: str) -> Iterator[list[tuple[object, bytes]]]:
+def _blocks(items: DataFrame, item_key: str, text: str) -> Iterator[list[tuple[object, str]]]:
     """The items in blocks of bounded size, one block in the driver at a time."""
     held, size = [], 0
     for row in items.select(item_key, text).toLocalIterator():
         data = plain(row[1])
         if data:
-            if held and size + len(data) > BLOCK_BYTES:
+            if held and size + len(data) > BLOCK_CHARS:
                 yield held
                 held, size = [], 0
             held.append((row[0], data))
@@ -252,11 +271,23 @@ def _blocks(items: DataFrame, item_key: str, text: str) -> Iterator[list[tuple[o
         yield held
 
 
+#: The index that a Python worker has built last: a block's index serves all tasks that the worker runs.
+_BUILT: dict[str, tuple[ItemIndex, list]] = {}
+
+
+def _index_of(name: str, shared, rate: float) -> tuple[ItemIndex, list[tuple[object, str]]]:
+    if name not in _BUILT:
+        block = shared.value
+        _BUILT.clear()
+        _BUILT[name] = ItemIndex([x for x in block if len(x[1]) >= Q], rate), [x for x in block if len(x[1]) < Q]
+    return _BUILT[name]
+
+
 def _make(shared, rate: float, render):
+    name = uuid.uuid4().hex
+
     def make():
-        block = shared.value
-        index = ItemIndex([x for x in block if len(x[1]) >= Q], rate)
-        tiny = [x for x in block if len(x[1]) < Q]
+        index, tiny = _index_of(name, shared, rate)
 
         def one(text):
             data = plain(text)

@@ -23,12 +23,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm._common import stored, text_udf
+from tessera.llm._common import id_filter, stored, text_udf
 from tessera.operators.graph import components
 
 SEED = 42
-#: Ids that a join may broadcast, after they have been counted.
-BROADCAST_IDS = 1 << 20
 
 
 def fingerprint(text: str | None, words: int) -> int:
@@ -115,18 +113,22 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", **opt
 
 
 def first_rows(docs: DataFrame, classes: DataFrame, key: str) -> DataFrame:
-    """The rows of ``docs`` but those whose ``key`` is not its class's ``component_id``; of rows that repeat a key one stays, with a null key all.
+    """The rows of ``docs`` but those whose ``key`` is not its class's ``component_id``; of rows that repeat a key the first as JSON stays, with a null key all.
 
-    Only ids are shuffled to find the few that go. Their number is counted: up to
-    ``BROADCAST_IDS`` they are broadcast and no text moves, beyond it the texts are
-    shuffled by id.
+    Only ids are shuffled to find the rows that go. A bitmap of fixed size over
+    their ids tells which rows may go; the others stay in place. Of those that may,
+    the ids that its chance hits keep, and the repeated ones, have a bitmap of their
+    own: rows that hit both are few and are joined with the ids, with their texts.
     """
     own = F.col(key) == F.col("component_id")
-    ids = classes.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(own).alias("_own"), F.count(F.lit(1)).alias("_n"))
-    ids = stored(ids.where("not _own or _n > 1"), "ids")
-    counts = ids.agg(F.count(F.lit(1)).alias("gone"), F.count_if("_own").alias("again")).first()
-    sized = F.broadcast if counts["gone"] <= BROADCAST_IDS else (lambda df: df)
-    out = docs.join(sized(ids.select(key)), key, "left_anti")
-    if counts["again"]:
-        out = out.unionByName(docs.join(sized(ids.where("_own").select(key)), key, "left_semi").dropDuplicates([key]).select(*docs.columns))
-    return out.select(*docs.columns)
+    ids = classes.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(own).alias("own"), F.count(F.lit(1)).alias("n"))
+    ids = stored(ids.where("not own or n > 1").select(key, "own"), "ids")
+    may_go = F.col(key).isNotNull() & id_filter(ids, key)(F.col(key))
+    by_chance = docs.select(key).where(may_go).join(ids.select(key), key, "left_anti")
+    look = stored(by_chance.unionByName(ids.where("own").select(key)).distinct(), "look")
+    asked = docs.where(may_go & id_filter(look, key)(F.col(key)))
+    known = asked.join(ids.select(key), key, "left_anti").select(*docs.columns)
+    again = asked.join(ids.where("own").select(key), key, "left_semi")
+    row = F.struct(*[F.col(c) for c in docs.columns])
+    again = again.groupBy(key).agg(F.min_by(row, F.to_json(row)).alias("_row")).select("_row.*")
+    return docs.where(~may_go).unionByName(known).unionByName(again)

@@ -17,7 +17,8 @@ Nulls and edge cases: vectors that are null or zero, or hold null or non-finite
 components take no part, nor do rows with a null id. Vectors of different lengths
 have no inner product: each length, of which a table has few, is searched by
 itself. A query is never its own neighbour; rows that repeat its id are
-left out with it, and of other repeated ids each row counts. With fewer than k
+left out with it, the smallest of their vectors is the query, and of other
+repeated ids each row counts. With fewer than k
 candidates all are returned. An empty table gives an empty result.
 """
 
@@ -204,7 +205,7 @@ def _nearest(rows: DataFrame, is_query: Column, k: int, factor: float, shard_row
     blocks = max(1, math.ceil(queries.count() / BLOCK_ROWS))
 
     trees = _packed(rows, shards, "shard", lambda ids, v: Tree(ids, v, top))
-    asked = _packed(queries.dropDuplicates(["vec_id"]), blocks, "block", lambda ids, v: (ids, v))
+    asked = _packed(queries.groupBy("vec_id").agg(F.min("v").alias("v")), blocks, "block", lambda ids, v: (ids, v))
     pairs = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).join(trees, "shard")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

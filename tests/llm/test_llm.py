@@ -214,7 +214,7 @@ def test_decontamination_finds_edited_passages_and_spares_clean_ones(spark):
 def test_decontamination_in_blocks_is_the_same(spark, docs, monkeypatch):
     items = spark.read.parquet(f"{SF}/benchmark.parquet")
     whole = sorted(tuple(r) for r in decontam.matches(docs, items).collect())
-    monkeypatch.setattr(decontam, "BLOCK_BYTES", 1500)
+    monkeypatch.setattr(decontam, "BLOCK_CHARS", 1500)
     assert sorted(tuple(r) for r in decontam.matches(docs, items).collect()) == whole
     texts = {r["item_id"]: decontam.plain(r["text"]) for r in items.collect()}
     exact = {(d["doc_id"], i) for d in docs.collect() for i, t in texts.items() if t in decontam.plain(d["text"])}
@@ -245,15 +245,15 @@ def test_decontamination_against_full_tables():
     rng = random.Random(21)
     word = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
     stem = word(30).strip()
-    items = [(i, decontam.plain(word(8 + 3 * i))) for i in range(24)] + [(100 + i, decontam.plain(f"{stem} {word(25)}")) for i in range(12)] + [(5, b"abcdefgh abcdefgh abcdefgh")]
+    items = [(i, decontam.plain(word(8 + 3 * i))) for i in range(24)] + [(100 + i, decontam.plain(f"{stem} {word(25)}")) for i in range(12)] + [(5, "abcdefgh abcdefgh abcdefgh")]
     index = decontam.ItemIndex([x for x in items if len(x[1]) >= decontam.Q], decontam.EDIT_RATE)
     hits = 0
     for n in range(120):
-        body = bytearray(items[n % len(items)][1])
+        body = list(items[n % len(items)][1])
         for _ in range(rng.randint(0, 1 + decontam.budget(len(body), decontam.EDIT_RATE))):
             at = rng.randrange(len(body))
-            body[at : at + rng.choice([0, 1, 1])] = rng.choice([b"", b"z", b"yz"])
-        text = decontam.plain(word(rng.randint(0, 60)) + bytes(body).decode() + word(rng.randint(0, 60)))
+            body[at : at + rng.choice([0, 1, 1])] = rng.choice(["", "z", "yz", "’"])
+        text = decontam.plain(word(rng.randint(0, 60)) + "".join(body) + word(rng.randint(0, 60)))
         least = {(k, t): _semi_global(t, text) for k, t in items if len(t) >= decontam.Q}
         wanted = {k for (k, t), e in least.items() if e <= decontam.budget(len(t), decontam.EDIT_RATE)}
         found = index.matches(text)
@@ -267,13 +267,38 @@ def test_decontamination_against_full_tables():
     assert hits > 60
 
 
+@pytest.mark.parametrize("letters", ["abcdefghij ", "abçdéf’ ", "漢字かな😀’ab "])
+def test_decontamination_counts_characters(letters):
+    """Random items and edits of one and of several bytes a character, against full tables of characters."""
+    rng = random.Random(len(letters))
+    word = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    items = [(i, t) for i in range(16) if len(t := decontam.plain(word(12 + 5 * i))) >= decontam.Q]
+    index, hits = decontam.ItemIndex(items, decontam.EDIT_RATE), 0
+    for n in range(60):
+        body = list(items[n % len(items)][1])
+        for _ in range(rng.randint(0, 1 + decontam.budget(len(body), decontam.EDIT_RATE))):
+            body[rng.randrange(len(body))] = rng.choice(["", "z", "’", "é", "漢"])
+        text = decontam.plain(word(20) + "".join(body) + word(20))
+        wanted = {k for k, t in items if _semi_global(t, text) <= decontam.budget(len(t), decontam.EDIT_RATE)}
+        assert {m[0] for m in index.matches(text)} == wanted
+        hits += len(wanted)
+    assert hits > 20
+
+
+def test_decontamination_typographic_quote_is_one_edit():
+    item = decontam.plain("what's the capital city of the country named in line?")
+    index = decontam.ItemIndex([(1, item)], decontam.EDIT_RATE)
+    found = index.matches(decontam.plain("so: " + item.replace("'", "’") + " he asked"))
+    assert [(m[0], m[3]) for m in found] == [(1, 1)] and found[0][1] == 4
+
+
 def test_decontamination_stem_that_many_items_share():
     rng = random.Random(22)
     word = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
     stem = word(100)
-    items = [(i, f"{stem} {word(120)}".encode()) for i in range(20_000)]
+    items = [(i, f"{stem} {word(120)}") for i in range(20_000)]
     index = decontam.ItemIndex(items, decontam.EDIT_RATE)
-    text = decontam.plain(" ".join([stem] * 5) + " " + items[77][1].decode() + " " + word(50))
+    text = decontam.plain(" ".join([stem] * 5) + " " + items[77][1] + " " + word(50))
     assert len(index.bands(decontam.grams(text))[0]) < 100  # the stem leads nowhere
     assert [m[0] for m in index.matches(text)] == [77]
 
@@ -286,8 +311,9 @@ def test_decontamination_item_key_named_like_the_document_key(spark):
 def test_banded_alignment_against_full_table():
     rng = random.Random(7)
     for _ in range(80):
-        item = bytes(rng.choice(b"abc") for _ in range(rng.randint(5, 25)))
-        text = bytes(rng.choice(b"abc") for _ in range(rng.randint(0, 6))) + item[: rng.randint(3, 25)] + bytes(rng.choice(b"abc") for _ in range(6))
+        letters = rng.choice(["abc", "abé", "a漢😀"])
+        item = "".join(rng.choice(letters) for _ in range(rng.randint(5, 25)))
+        text = "".join(rng.choice(letters) for _ in range(rng.randint(0, 6))) + item[: rng.randint(3, 25)] + "".join(rng.choice(letters) for _ in range(6))
         start, end, edits = decontam.align(item, text, len(text) + len(item) + 1, len(item))
         assert edits == min(_distance(item, text[a:b]) for a in range(len(text) + 1) for b in range(a, len(text) + 1))
         assert _distance(item, text[start:end]) == edits
@@ -483,6 +509,14 @@ def test_nearest_where_query_ids_repeat(monkeypatch):
     assert [i for i, _ in found] == [i for _, i in wanted] == [100, 101, 102, 103, 104]
 
 
+def test_nearest_of_a_repeated_query_is_that_of_its_smallest_vector(spark):
+    rows = [(0, [5.0, 0.0]), (0, [0.0, 5.0]), (1, [1.0, 0.1]), (2, [0.1, 1.0])]
+    for parts in (1, 4):
+        df = spark.createDataFrame(rows if parts == 1 else rows[::-1], "vec_id long, embedding array<float>").repartition(parts)
+        found = vptree.nearest(df, F.col("vec_id") % 20 == 0, k=1)
+        assert [tuple(r)[:3] for r in found.collect()] == [(0, 1, 2)]
+
+
 def test_nearest_of_vectors_of_each_length(spark):
     rows = [(0, [1.0, 0.0]), (1, [0.5, 0.0]), (5, [1.0, 1.0, 1.0]), (6, [0.0, 2.0, 0.0]), (7, [0.0, 1.0, 0.0]), (10, [3.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")

@@ -35,3 +35,35 @@ def test_last_stage_has_a_row_for_each_document(spark, docs):
 @pytest.mark.parametrize("name", list(STAGES))
 def test_stage_of_an_empty_table(spark, docs, name):
     assert STAGES[name](spark, docs.where("false"), SF).count() == 0
+
+
+@pytest.mark.parametrize(("name", "column"), [("toxicity", "_toxicity"), ("language", "_language"), ("near_duplicates", "_row"), ("decontamination", "m")])
+def test_stage_keeps_a_column_named_like_its_own(spark, docs, name, column):
+    some = docs.where("doc_id < 60 or doc_id > 900000").withColumn(column, F.concat(F.lit("mine "), F.col("doc_id").cast("string")))
+    out = STAGES[name](spark, some, SF)
+    assert out.columns == some.columns and out.schema == some.schema
+    assert out.where(F.col(column) != F.concat(F.lit("mine "), F.col("doc_id").cast("string"))).count() == 0
+
+
+def test_last_stage_without_source_and_language(spark, docs):
+    assert STAGES["bpe"](spark, docs.select("doc_id", "text").limit(3), SF).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+
+@pytest.mark.parametrize("bits", [1 << 26, 64])
+def test_rows_that_go_whatever_the_filter_keeps_by_chance(spark, monkeypatch, bits):
+    """Repeated ids with different texts, null ids and copies, with a filter that nearly all rows pass."""
+    from tessera.llm import _common, simhash
+
+    monkeypatch.setattr(simhash, "id_filter", lambda ids, key: _common.id_filter(ids, key, bits))
+    rows = [(i, f"text {i}", {"k": i}) for i in range(300)] + [(7, "a first", {"k": 1}), (7, "a first", {"k": 1}), (8, "z", None), (None, "x", None), (None, "x", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, extra map<string,int>").repartition(4)
+    classes = docs.select("doc_id", (F.col("doc_id") - F.col("doc_id") % 3).alias("component_id"))
+    kept = simhash.first_rows(docs, classes, "doc_id")
+    assert kept.columns == docs.columns
+    found = sorted((r["doc_id"], r["text"]) for r in kept.where("doc_id is not null").collect())
+    assert found == [(i, f"text {i}") for i in range(0, 300, 3)]
+    assert kept.where("doc_id is null").count() == 2
+    twice = simhash.first_rows(docs, docs.select("doc_id", F.col("doc_id").alias("component_id")), "doc_id")
+    assert {r["text"] for r in twice.where("doc_id in (7, 8)").collect()} == {"a first", "text 8"}
+    assert twice.count() == 302
+
