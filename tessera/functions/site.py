@@ -159,9 +159,20 @@ def people(body: Column) -> Column:
     return _let(F.flatten(F.transform(F.split(F.coalesce(body, F.lit("")), "\n"), pair)), once)
 
 
+# What tells that a page names somebody in charge; the endings are those of either gender.
+IN_CHARGE = ["gerente", "ceo", "persona de contacto", "nuestro equipo"]
+IN_CHARGE_ENDED = [("fundador", ["", "a"]), ("propietari", ["o", "a"]), ("encargad", ["o", "a"])]
+CHIEFS, OF_CHIEFS = ["jefe", "jefa"], ["de obra"]
+DIRECTORS, OF_DIRECTORS = ["director", "directora"], ["general", "comercial", "tecnico", "tecnica"]
+
+
 def mentions_role(body: Column) -> Column:
-    plain = _plain(F.coalesce(body, F.lit("")))
-    return plain.rlike(r"\b(gerente|director(a)? (general|comercial|tecnic[oa])|fundador(a)?|ceo|propietari[oa]|jef[ea] de obra|encargad[oa]|persona de contacto|nuestro equipo)\b")
+    """Whether a page names somebody in charge, in whole words."""
+    spaced = F.regexp_replace(_plain(F.coalesce(body, F.lit(""))), r"[^a-z0-9_\s]", " | ")
+    words = F.concat(F.lit(" "), F.regexp_replace(spaced, r"\s+", " "), F.lit(" "))
+    asked = IN_CHARGE + [stem + end for stem, ends in IN_CHARGE_ENDED for end in ends]
+    asked += [f"{who} {what}" for whos, whats in ((CHIEFS, OF_CHIEFS), (DIRECTORS, OF_DIRECTORS)) for who in whos for what in whats]
+    return text.contains_any(words, [f" {phrase} " for phrase in asked])
 
 
 def legal_data(body: Column) -> Column:

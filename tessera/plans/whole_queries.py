@@ -1,4 +1,4 @@
-"""Queries on texts of cards, and names that earlier versions gave to queries over whole tables."""
+"""Queries on texts of cards."""
 
 from __future__ import annotations
 
@@ -7,19 +7,11 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text
 from tessera.operators import resolution
-from tessera.plans.queries import QUERIES, SQL, query
+from tessera.plans.queries import query
 from tessera.plans.tables import derived, read
 from tessera.storage import stored
 
 
-# Every query reads whole tables; these names stay for those who call them.
-for _name in ["trigram_top_k", "field_consolidation", "conflict_classes", "representative_text", "observation_history", "value_details", "golden_rows", "state_changes", "ranked_results", "results_page", "results_summary", "role_priority"]:
-    if _name in QUERIES:
-        QUERIES[f"{_name}_all"] = QUERIES[_name]
-        if _name in SQL:
-            SQL[f"{_name}_all"] = SQL[_name]
-
-
 def text_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(card, nif, domain, phones, name) of all documents.
 

@@ -270,7 +270,8 @@ def normalised_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WITH o AS (SELECT o_orderkey AS k, o_custkey AS c, o_orderkey % 3 AS m FROM orders), v AS (SELECT *, lpad(CAST(k % 10000000 AS VARCHAR), 7, '0') AS d FROM o),
 w AS (SELECT *, (10 - (CAST(d[2] AS INT) + CAST(d[4] AS INT) + CAST(d[6] AS INT) + list_sum([CAST(d[i] AS INT) * 2 // 10 + CAST(d[i] AS INT) * 2 % 10 FOR i IN [1, 3, 5, 7]])) % 10) % 10 AS control FROM v)
 SELECT k AS page, 'B' || d || CAST(control AS VARCHAR) AS nif, CASE m WHEN 0 THEN 2 ELSE 1 END AS n_nifs, 'Obras ' || c || ' S.L' AS first_name, CASE m WHEN 1 THEN 'Sevilla:' || k || ':7:SE-' || k END AS registry, '+34954123456' AS phones,
-  'info@obras' || c || '.es' AS emails, '41001' AS postal_codes, CASE m WHEN 2 THEN 'Ana Ruiz Gil:Gerente' WHEN 1 THEN 'Eva Sol:Jefa de obra' ELSE '' END AS people, m = 0 AS needs_model FROM w"""
+  'info@obras' || c || '.es' AS emails,
+  array_to_string(list_sort(list_distinct(CASE WHEN m = 1 AND length(CAST(k AS VARCHAR)) = 5 AND left(CAST(k AS VARCHAR), 2) BETWEEN '01' AND '52' THEN ['41001', CAST(k AS VARCHAR)] ELSE ['41001'] END)), ',') AS postal_codes, CASE m WHEN 2 THEN 'Ana Ruiz Gil:Gerente' WHEN 1 THEN 'Eva Sol:Jefa de obra' ELSE '' END AS people, m = 0 AS needs_model FROM w"""
 )
 def site_legal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Legal notices of made-up sites: owner's number beside a web agency's, labelled name, registry entry, contacts, people."""
