@@ -50,7 +50,7 @@ from tessera.llm.tokenfile import BLOCK, ChunkEncoder
 BLOCK_PAIRS = 1 << 21
 #: Windows that a generation of the memo holds, and tokens of the longest window in it.
 MEMO_LIMIT, MEMO_TOKENS = 100_000, 32
-#: Windows of one document that are held at once.
+#: Windows that are looked up at once, about.
 RUN = 1 << 15
 
 ALIGNMENT = T.StructType(
@@ -64,7 +64,6 @@ ALIGNMENT = T.StructType(
         T.StructField("times", T.BinaryType()),
     ]
 )
-NOTHING = {"n_a": 0, "n_b": 0, "n_groups": 0, "n_links": 0, "groups": "", "pairs": b"", "times": b""}
 
 
 class PlainEncoder(ChunkEncoder):
@@ -139,9 +138,9 @@ class Aligner:
         next_a, next_b = np.flatnonzero(marks[1, ends_a])[:-1] + 1, np.flatnonzero(marks[0, ends_b])[:-1] + 1
         anchor = self.a.spaced[ids_a[next_a]] & self.b.spaced[ids_b[next_b]]
         next_a, next_b = next_a[anchor], next_b[anchor]
-        window = np.zeros(len(a) + len(b), np.int64)
-        window[next_a] = window[next_b + len(a)] = 1
-        window[len(a)] = -len(next_a)  # B's windows are counted from 0 again
+        window, n_a = np.zeros(len(ids_a) + len(ids_b), np.int64), len(ids_a)
+        window[next_a] = window[next_b + n_a] = 1
+        window[n_a] = -len(next_a)  # B's windows are counted from 0 again
         order = np.argsort(np.cumsum(window), kind="stable")
         flat = tuple(np.concatenate([ids_a, ~ids_b])[order].tolist())
         cuts = [0, *(next_a + next_b).tolist(), len(flat)]
@@ -174,11 +173,10 @@ class Aligner:
         rows = zip([0, *tokens], tokens, [0, *links], links, groups)
         return [("".join(shown[i:j])[:-1], codes[k:n], g) for i, j, k, n, g in rows]
 
-    def _learn(self, keys: list[tuple[int, ...]]) -> dict:
-        """The alignments of windows that the newer generation lacks; short ones go into it."""
-        older = self.older
-        held = {key: older[key] for key in keys if key in older}
-        new = list({key: None for key in keys if key not in held})
+    def _learn(self, keys: set[tuple[int, ...]]) -> dict:
+        """The alignments of windows that the newer generation lacks, all at once; short ones go into it."""
+        held = {key: self.older[key] for key in keys if key in self.older}
+        new = [key for key in keys if key not in held]
         if new:
             held.update(zip(new, self.align(new)))
         if len(self.memo) + len(held) > MEMO_LIMIT:  # windows not met again since the older generation began go with it
@@ -186,27 +184,40 @@ class Aligner:
         self.memo.update((key, h) for key, h in held.items() if len(key) <= MEMO_TOKENS)
         return held
 
-    def alignment(self, text: str | None) -> dict:
-        a, b = self.ids(text) if text else ([], [])
-        if not a:
-            return NOTHING
-        groups, texts, codes = 0, [], []
-        for keys in self.windows(a, b):
-            found = list(map(self.memo.get, keys))
-            missing = [key for key, f in zip(keys, found) if f is None]
-            if missing:
-                held = self._learn(missing)
-                found = [held[key] if f is None else f for key, f in zip(keys, found)]
-            shown, linked, counts = zip(*found)
-            groups += sum(counts)
-            texts += shown
-            codes.append(b"".join(linked))
-        codes = np.frombuffer(b"".join(codes), self.code)
-        pairs, times = np.unique(codes, return_counts=True)
-        return {
-            "n_a": len(a), "n_b": len(b), "n_groups": groups, "n_links": len(codes), "groups": ";".join(texts),
-            "pairs": pairs.tobytes(), "times": times.astype("<u4").tobytes(),
-        }
+    def _resolve(self, runs: list[tuple[int, list[tuple[int, ...]]]], texts: list[list], codes: list[list], groups: list[int]) -> None:
+        """Add the alignments of runs of windows to their documents'."""
+        found = [list(map(self.memo.get, keys)) for _, keys in runs]
+        missing = {key for (_, keys), held in zip(runs, found) if None in held for key, h in zip(keys, held) if h is None}
+        learnt = self._learn(missing) if missing else {}
+        for (k, keys), held in zip(runs, found):
+            shown, linked, counts = zip(*[learnt[key] if h is None else h for key, h in zip(keys, held)])
+            texts[k].append(";".join(shown))
+            codes[k].append(b"".join(linked))
+            groups[k] += sum(counts)
+
+    def alignments(self, texts: list[str | None]) -> list[dict]:
+        """The alignment of each text; windows of several texts are looked up together, about ``RUN`` at a time."""
+        n_a, n_b, groups = ([0] * len(texts) for _ in range(3))
+        shown, codes = ([[] for _ in texts] for _ in range(2))
+        runs, held = [], 0
+        for k, text in enumerate(texts):
+            a, b = self.ids(text) if text else ([], [])
+            n_a[k], n_b[k] = len(a), len(b)
+            for keys in self.windows(a, b) if a else ():
+                runs.append((k, keys))
+                held += len(keys)
+                if held >= RUN:
+                    self._resolve(runs, shown, codes, groups)
+                    runs, held = [], 0
+        if runs:
+            self._resolve(runs, shown, codes, groups)
+        out = []
+        for row in zip(n_a, n_b, groups, shown, codes):
+            links = np.frombuffer(b"".join(row[4]), self.code)
+            pairs, times = np.unique(links, return_counts=True)
+            values = (*row[:3], len(links), ";".join(row[3]), pairs.tobytes(), times.astype("<u4").tobytes())
+            out.append(dict(zip(ALIGNMENT.fieldNames(), values)))
+        return out
 
 
 @lru_cache(maxsize=1)
@@ -224,8 +235,7 @@ def aligned(docs: DataFrame, path_a: str, path_b: str, key: str = "doc_id", text
     """
 
     def make():
-        one = aligner(path_a, path_b).alignment
-        return lambda texts: [one(t) for t in texts]
+        return aligner(path_a, path_b).alignments
 
     return docs.select(F.col(key), text_udf(make, ALIGNMENT)(F.col(text)).alias("_alignment")).select(key, "_alignment.*")
 

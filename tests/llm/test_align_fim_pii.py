@@ -89,25 +89,27 @@ def test_alignment_against_all_byte_ranges(plain, monkeypatch):
     monkeypatch.setattr(align, "RUN", 7)
     monkeypatch.setattr(align, "MEMO_LIMIT", 50)
     aligner = align.Aligner(A, B)
-    for text in random_texts(600):
+    texts = random_texts(600)
+    for text, found in zip(texts, aligner.alignments(texts)):
         n_a, n_b, groups, links = plain.row(text)
-        found = aligner.alignment(text)
         assert (found["n_a"], found["n_b"], found["n_groups"], found["n_links"]) == (n_a, n_b, len(groups), len(links)), text
         assert found["groups"] == ";".join(groups)
         codes = align._codes(found["pairs"], found["times"]).tolist()
         assert {(c >> 15, c & 0x7FFF): t for c, t in zip(codes, memoryview(found["times"]).cast("I"))} == Counter(links)
 
 
-def test_long_texts_are_cut_where_tokens_end(monkeypatch):
-    monkeypatch.setattr(align, "BLOCK", 50)
+def test_texts_are_cut_where_tokens_end(monkeypatch):
+    """The ids of the blocks of long texts are those of the libraries for the whole text."""
     import tessera.llm.tokenfile as tokenfile
 
+    monkeypatch.setattr(align, "BLOCK", 50)
     monkeypatch.setattr(tokenfile, "BLOCK", 50)
     aligner = align.Aligner(A, B)
-    for text in random_texts(60, 5):
-        text = (text + " abc de ") * 9
-        assert aligner.ids_b(text) == aligner.b_of.encode(text)
-        assert aligner.a_of.ids(" " + text) == aligner.a_of.whole(" " + text)
+    for text in [*random_texts(400, 5), *[(t + " abc de ") * 9 for t in random_texts(60, 6)], "the cat sat on the mat 12 3 a b", "don't cut 's here", "x" * 200 + " y"]:
+        wanted = aligner.a_of.whole(" " + text), aligner.b_of.encode(text)
+        kept = aligner.ids(text)
+        same = all(b"".join(side.bytes[i] for i in ids) == (" " + text).encode() for side, ids in zip((aligner.a, aligner.b), wanted))
+        assert list(map(list, kept)) == (list(map(list, wanted)) if same else [[], []]), text
 
 
 @pytest.mark.parametrize("block", [1 << 21, 40])
