@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -19,6 +20,52 @@ SLICE_ROWS = 256
 FILTER_BITS = 1 << 26
 
 
+#: Rows of one Arrow batch between the JVM and a Python worker: both sides hold a batch of whole texts and its results.
+BATCH_ROWS = 1024
+#: What a Python worker has built for the operator that it runs, by name.
+_STATES: dict[object, object] = {}
+_ASKED: set[object] = set()
+
+
+def worker_state(name: object, build: Callable[[], object]) -> object:
+    """What ``build`` gives, once a Python worker, which serves all tasks that the worker runs for one operator.
+
+    ``text_udf`` drops what its function doesn't ask for, so that a worker never
+    holds the tables of an operator that it ran before.
+    """
+    if name not in _STATES:
+        _STATES[name] = build()
+    _ASKED.add(name)
+    return _STATES[name]
+
+
+def _made(make: Callable[[], Callable[[list], list]]) -> Callable[[list], list]:
+    _ASKED.clear()
+    score = make()
+    old = _STATES.keys() - _ASKED
+    for name in old:
+        del _STATES[name]
+    if old:
+        release()
+    return score
+
+
+def release() -> None:
+    """Give memory that nothing uses back to the machine."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library keeps what it has
+        pass
+
+
+def bounded_batches() -> None:
+    """Lower the session's rows an Arrow batch to ``BATCH_ROWS``; a lower setting stays."""
+    session, name = SparkSession.getActiveSession(), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if session is not None and not 0 < int(session.conf.get(name)) <= BATCH_ROWS:
+        session.conf.set(name, BATCH_ROWS)
+
+
 def text_udf(make: Callable[[], Callable[[list], list]], returns: T.DataType) -> Callable[..., Column]:
     """Arrow UDF over one column.
 
@@ -26,10 +73,11 @@ def text_udf(make: Callable[[], Callable[[list], list]], returns: T.DataType) ->
     a list of results (dicts for a struct type), called on bounded slices. The
     UDF is marked nondeterministic so that the optimiser never runs it twice.
     """
+    bounded_batches()
     kind = to_arrow_type(returns)
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        score, pool = make(), pa.default_memory_pool()
+        score, pool = _made(make), pa.default_memory_pool()
         for batch in batches:
             parts = [
                 pa.array(score(batch.slice(at, SLICE_ROWS).to_pylist()), kind)
@@ -37,13 +85,15 @@ def text_udf(make: Callable[[], Callable[[list], list]], returns: T.DataType) ->
             ]
             yield pa.concat_arrays(parts) if parts else pa.array([], kind)
             del batch, parts
-            pool.release_unused()  # a worker serves many tasks: freed batches go back to the machine
+            pool.release_unused()
+        release()  # a worker serves many tasks: what they freed goes back to the machine
 
     return F.arrow_udf(run, returns).asNondeterministic()
 
 
 def slices_udf(score: Callable[..., pa.Array], returns: T.DataType) -> Callable[..., Column]:
     """Arrow UDF over several columns; ``score`` gets each as a list, in slices of bounded length."""
+    bounded_batches()
     kind = to_arrow_type(returns)
 
     def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:

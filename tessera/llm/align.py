@@ -33,7 +33,6 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -42,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm._common import slices_udf, stored, text_udf
+from tessera.llm._common import slices_udf, stored, text_udf, worker_state
 from tessera.llm.bpe import byte_alphabet
 from tessera.llm.tokenfile import BLOCK, ChunkEncoder
 
@@ -220,12 +219,6 @@ class Aligner:
         return out
 
 
-@lru_cache(maxsize=1)
-def aligner(path_a: str, path_b: str) -> Aligner:
-    """One a Python worker, so that its memo serves all tasks that the worker runs."""
-    return Aligner(path_a, path_b)
-
-
 def aligned(docs: DataFrame, path_a: str, path_b: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_a, n_b, n_groups, n_links, groups, pairs, times) of every row.
 
@@ -235,7 +228,7 @@ def aligned(docs: DataFrame, path_a: str, path_b: str, key: str = "doc_id", text
     """
 
     def make():
-        return aligner(path_a, path_b).alignments
+        return worker_state(("aligner", path_a, path_b), lambda: Aligner(path_a, path_b)).alignments
 
     return docs.select(F.col(key), text_udf(make, ALIGNMENT)(F.col(text)).alias("_alignment")).select(key, "_alignment.*")
 

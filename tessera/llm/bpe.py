@@ -26,7 +26,6 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import regex
@@ -34,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm._common import text_udf
+from tessera.llm._common import text_udf, worker_state
 
 #: Characters of a text that the encoder takes at once.
 BLOCK = 1 << 16
@@ -178,9 +177,8 @@ class MergeTable:
         return np.where(self.pair_keys[slot] == pairs, self.pair_ranks[slot], len(self.made))
 
 
-@lru_cache(maxsize=4)
 def table_of(path: str) -> MergeTable:
-    return MergeTable(path)
+    return worker_state(("merges", path), lambda: MergeTable(path))
 
 
 class WordTransducer:
@@ -474,9 +472,7 @@ class Digests:
         return {"n_tokens": self.n, "ids_sha256": self.ids.hexdigest(), "decoded_sha256": self.text.hexdigest()}
 
 
-@lru_cache(maxsize=1)
 def _digest_function(path: str):
-    """One a Python worker, so that its memo serves all tasks that the worker runs."""
     memo = RunMemo(Encoder(path), Decoder(path))
 
     def one(text: str) -> dict:
@@ -529,4 +525,4 @@ def round_trip(df: DataFrame, path: str, text: str = "text", out: str = "bpe") -
     Both digests are taken while tokens stream by, so neither the ids nor the
     decoded text of a row is ever held whole.
     """
-    return df.withColumn(out, text_udf(lambda: _digest_function(path), DIGESTS)(F.col(text)))
+    return df.withColumn(out, text_udf(lambda: worker_state(("digests", path), lambda: _digest_function(path)), DIGESTS)(F.col(text)))

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm._common import text_udf
+from tessera.llm._common import text_udf, worker_state
 
 Q = 8
 #: Edits allowed, as a part of the item's length.
@@ -271,23 +271,15 @@ def _blocks(items: DataFrame, item_key: str, text: str) -> Iterator[list[tuple[o
         yield held
 
 
-#: The index that a Python worker has built last: a block's index serves all tasks that the worker runs.
-_BUILT: dict[str, tuple[ItemIndex, list]] = {}
-
-
-def _index_of(name: str, shared, rate: float) -> tuple[ItemIndex, list[tuple[object, str]]]:
-    if name not in _BUILT:
-        block = shared.value
-        _BUILT.clear()
-        _BUILT[name] = ItemIndex([x for x in block if len(x[1]) >= Q], rate), [x for x in block if len(x[1]) < Q]
-    return _BUILT[name]
+def _index_of(block: list[tuple[object, str]], rate: float) -> tuple[ItemIndex, list[tuple[object, str]]]:
+    return ItemIndex([x for x in block if len(x[1]) >= Q], rate), [x for x in block if len(x[1]) < Q]
 
 
 def _make(shared, rate: float, render):
     name = uuid.uuid4().hex
 
     def make():
-        index, tiny = _index_of(name, shared, rate)
+        index, tiny = worker_state(name, lambda: _index_of(shared.value, rate))
 
         def one(text):
             data = plain(text)
