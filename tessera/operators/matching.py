@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions import text
-from tessera.operators import resolution
+from tessera.functions import ident, text
+from tessera.operators import names, resolution
+from tessera.operators.joins import tiled_join
 from tessera.storage import stored
 
 #: Channels in the order in which candidates are gathered.
-NUMBER, CONTACT, NAME = 0, 1, 10
+NUMBER, CONTACT, NAME, PLACE = 0, 1, 10, 20
+#: A site of a company with a similar name is at most so far; one that near is compared whatever the names.
+RADIUS_M, NEAR_M = 20_000.0, 50.0
 #: Least overlap of trigram sets of names that are compared.
 LEAST_NAME = 0.3
 
@@ -48,15 +51,20 @@ def profiles(companies: DataFrame, channels: DataFrame, sites: DataFrame, identi
     return as_records(named, "company_id")
 
 
-def candidates(records: DataFrame, companies: DataFrame, shared: DataFrame | None = None, least: float = LEAST_NAME) -> DataFrame:
+def candidates(
+    records: DataFrame, companies: DataFrame, shared: DataFrame | None = None, least: float = LEAST_NAME, sites: DataFrame | None = None, radius_m: float = RADIUS_M, near_m: float = NEAR_M
+) -> DataFrame:
     """(record_id, company_id, gathered): companies to compare a record with, each once, by the first channel that finds it.
 
     A valid tax number comes first, then equal contacts (domain, phone, e-mail,
     sheet, place; no premium numbers, no phones of ``shared``), then similar
-    names, compared once for each pair of different names.
+    names, compared once for each pair of different names. A record with coordinates takes only those similar
+    names that have a site within ``radius_m``; ``sites`` (company_id, lat, lon)
+    are all sites of the companies, else their own coordinates count. Last come companies with a site
+    within ``near_m``, whatever their names. Frequent keys are joined in tiles.
     """
     numbered = records.where("nif_valid and nif is not null").select("record_id", "nif")
-    exact = numbered.join(companies.where("nif is not null").select("company_id", "nif"), "nif").select("record_id", "company_id", F.lit(NUMBER).alias("gathered"))
+    exact = tiled_join(numbered, companies.where("nif is not null").select("company_id", "nif"), ["nif"]).select("record_id", "company_id", F.lit(NUMBER).alias("gathered"))
     callable_ = records.withColumn("phones", F.array_except("phones", F.coalesce("special_phones", F.array().cast("array<string>"))))
     if shared is not None:
         crowded = callable_.select("record_id", F.explode("phones").alias("phone")).join(shared.select("phone"), "phone", "left_anti")
@@ -64,13 +72,21 @@ def candidates(records: DataFrame, companies: DataFrame, shared: DataFrame | Non
         callable_ = callable_.drop("phones").join(kept, "record_id", "left")
     contact = resolution.same_contact(callable_, companies).select("record_id", "company_id", (F.col("channel_rank") - 1 + CONTACT).alias("gathered"))
 
-    def names(df: DataFrame, key: str) -> DataFrame:
+    def spelt(df: DataFrame, key: str) -> DataFrame:
         return df.select(key, F.explode(F.array_distinct(F.array("name", "trade_name"))).alias("n")).where("n <> ''")
 
-    l, r = names(records, "record_id"), names(companies, "company_id")
-    alike = resolution.similar_names(l.select("n").distinct(), r.select("n").distinct(), "n", "n", least)
-    by_name = l.join(alike, l.n == alike.l_key).drop("n").join(r, F.col("r_key") == r.n).select("record_id", "company_id", F.lit(NAME).alias("gathered"))
-    return exact.unionByName(contact).unionByName(by_name).groupBy("record_id", "company_id").agg(F.min("gathered").alias("gathered"))
+    l, r = spelt(records, "record_id"), spelt(companies, "company_id")
+    alike = resolution.similar_names(l.select("n").distinct(), r.select("n").distinct(), "n", "n", least).select(F.col("l_key").alias("n"), F.col("r_key").alias("r_n"))
+    by_name = tiled_join(tiled_join(l, alike, ["n"]), r.withColumnRenamed("n", "r_n"), ["r_n"]).select("record_id", "company_id").distinct()
+    places = (sites if sites is not None else companies).select("company_id", "lat", "lon").where("lat is not null and lon is not null")
+    placed = records.select("record_id", "lat", "lon").where("lat is not null and lon is not null")
+    # only the pairs of similar names are measured against the radius: a city's companies don't all meet
+    measured = by_name.join(placed, "record_id").join(places.toDF("company_id", "r_lat", "r_lon"), "company_id")
+    within = measured.where(ident.haversine_m(F.col("lat"), F.col("lon"), F.col("r_lat"), F.col("r_lon")) <= radius_m).select("record_id", "company_id").distinct()
+    by_name = by_name.join(placed.select("record_id"), "record_id", "left_anti").unionByName(within).withColumn("gathered", F.lit(NAME))
+    near = resolution.within_radius(placed.withColumnRenamed("record_id", "k"), places.withColumnRenamed("company_id", "k"), "k", near_m)
+    near = near.select(F.col("l_key").alias("record_id"), F.col("r_key").alias("company_id"), F.lit(PLACE).alias("gathered"))
+    return exact.unionByName(contact).unionByName(by_name).unionByName(near).groupBy("record_id", "company_id").agg(F.min("gathered").alias("gathered"))
 
 
 def _as_struct(df: DataFrame, key: str, out: str) -> DataFrame:
@@ -132,16 +148,18 @@ def human_decisions(choices: DataFrame) -> DataFrame:
     return choices.select("entity", "field", "value", F.lit("human").alias("source_group"), F.lit(0.98).alias("confidence"), "observed_at", F.lit(False).alias("official"), F.col("value").alias("original"))
 
 
-def homonyms(companies: DataFrame, least: float = 0.88, blocked: float = 0.6) -> DataFrame:
-    """(a, b, similarity), a < b: companies of like names in different register sheets. Names are compared once for each pair."""
-    rows = companies.where("sheet is not null and name <> ''").select("company_id", "name", "sheet")
-    names = rows.select("name").distinct()
-    alike = resolution.similar_names(names, names, "name", "name", blocked).where("l_key <= r_key")
-    alike = alike.withColumn("s", resolution.name_similarity(F.col("l_key"), F.col("r_key"))).where(F.col("s") >= least).select("l_key", "r_key", "s")
-    both = alike.union(alike.where("l_key <> r_key").select("r_key", "l_key", "s"))
-    l, r = rows.toDF("a", "l_key", "a_sheet"), rows.toDF("b", "r_key", "b_sheet")
-    found = both.join(l, "l_key").join(r, "r_key").where("a < b and a_sheet <> b_sheet")
-    return found.select("a", "b", F.col("s").alias("similarity"))
+def homonyms(companies: DataFrame, least: float = names.LETTERS_FROM) -> DataFrame:
+    """(a, b, ratio), a < b: companies in different register sheets whose names without legal forms are letter by letter alike.
+
+    Equal and similar names count; names are compared once for each pair of different ones.
+    """
+    rows = companies.select("company_id", names.core_name(F.col("name")).alias("core"), "sheet").where("sheet is not null and core <> ''")
+    alike = names.alike(rows, "core", least)
+    same = rows.select(F.col("core").alias("a_core"), F.col("core").alias("b_core"), F.lit(100.0).alias("ratio")).distinct()
+    both = alike.toDF("a_core", "b_core", "ratio").union(alike.select("b", "a", "ratio")).union(same)
+    l, r = rows.toDF("a", "a_core", "a_sheet"), rows.toDF("b", "b_core", "b_sheet")
+    found = tiled_join(tiled_join(l, both, ["a_core"]), r, ["b_core"]).where("a < b and a_sheet <> b_sheet")
+    return found.select("a", "b", "ratio")
 
 
 def asked_similarity(similarity: Column, asked: Column, name: Column) -> Column:
