@@ -6,7 +6,8 @@ full tokenisation the bytes of either side's tokens are joined and compared with
 the space and the text; a row where they differ has no tokens. Where both sides end
 a token at one byte and both next tokens begin with a space, the document is cut:
 these anchors leave windows of a word or so. A window's alignment depends on its
-ids only, and words come back, so it is kept in a memo under the tuple of its ids.
+ids only, and words come back, so it is kept in a memo under the tuple of its ids (found by a hash,
+compared id by id).
 Inside a window, bytes at which both sides end a token cut it into groups; an A
 and a B token are linked if their byte ranges overlap.
 
@@ -33,7 +34,6 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,14 +43,14 @@ from pyspark.sql import types as T
 
 from tessera.llm._common import slices_udf, stored, text_udf, worker_state
 from tessera.llm.bpe import byte_alphabet
-from tessera.llm.tokenfile import BLOCK, ChunkEncoder
+from tessera.llm.tokenfile import ChunkEncoder
 
 #: Pairs of ids that one broadcast holds, about; and that a task counts before it hands them on.
 BLOCK_PAIRS = 1 << 21
 #: Windows that a generation of the memo holds, and tokens of the longest window in it.
 MEMO_LIMIT, MEMO_TOKENS = 100_000, 32
-#: Windows that are looked up at once, about.
-RUN = 1 << 15
+#: Tokens of A whose windows are looked up at once, about.
+RUN = 1 << 18
 
 ALIGNMENT = T.StructType(
     [
@@ -73,9 +73,6 @@ class PlainEncoder(ChunkEncoder):
         self.tokenizer.encode_special_tokens = True
         self._special = re.compile("(?!)")
 
-    def ids(self, text: str) -> list[int]:
-        return [i for block in self.blocks(text) for i in self.block(block)]
-
 
 class Side:
     """Bytes of each id of a tokenizer, their lengths, and which begin with a space."""
@@ -87,6 +84,91 @@ class Side:
         self.spaced = np.array([b.startswith(b" ") for b in self.bytes])
 
 
+def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The indices of ranges of an array, one range after the other."""
+    return np.arange(int(sizes.sum())) + np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
+
+
+class Windows:
+    """Id tuples one after the other: A's ids, then the complements ~id of B's; the hash of each tuple."""
+
+    _rng = np.random.default_rng(11)
+    _times = _rng.integers(0, 2**63, 1 << 12, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def __init__(self, flat: np.ndarray, sizes: np.ndarray, hashes: np.ndarray | None = None):
+        self.flat, self.sizes = flat, sizes
+        self.starts = np.cumsum(sizes) - sizes
+        self.hashes = self._hash() if hashes is None else hashes
+
+    def _hash(self) -> np.ndarray:
+        place = np.arange(len(self.flat)) - np.repeat(self.starts, self.sizes)
+        mixed = (self.flat + (1 << 32)).astype(np.uint64) * self._times[place & 4095]
+        return np.add.reduceat(mixed, self.starts) if len(self.flat) else np.zeros(0, np.uint64)
+
+    def take(self, which: np.ndarray) -> Windows:
+        sizes = self.sizes[which]
+        return Windows(self.flat[ragged(self.starts[which], sizes)], sizes, self.hashes[which])
+
+    def same(self, which: np.ndarray, other: Windows, there: np.ndarray) -> np.ndarray:
+        """Whether each of these tuples is that of ``other``."""
+        equal = self.sizes[which] == other.sizes[there]
+        sizes = np.where(equal, self.sizes[which], 0)
+        differ = self.flat[ragged(self.starts[which], sizes)] != other.flat[ragged(other.starts[there], sizes)]
+        owner = np.repeat(np.arange(len(which)), sizes)
+        equal[owner[differ]] = False
+        return equal
+
+    def joined(self, other: Windows) -> Windows:
+        return Windows(*[np.concatenate([getattr(self, n), getattr(other, n)]) for n in ("flat", "sizes", "hashes")])
+
+
+class Aligned:
+    """Alignments of windows, in their order: groups as text, their number, and links as codes one window after the other."""
+
+    def __init__(self, texts: np.ndarray, groups: np.ndarray, codes: np.ndarray, links: np.ndarray):
+        self.texts, self.groups, self.codes, self.links = texts, groups, codes, links
+        self.starts = np.cumsum(links) - links
+
+    def take(self, which: np.ndarray) -> Aligned:
+        links = self.links[which]
+        return Aligned(self.texts[which], self.groups[which], self.codes[ragged(self.starts[which], links)], links)
+
+    def joined(self, other: Aligned) -> Aligned:
+        return Aligned(*[np.concatenate([getattr(self, n), getattr(other, n)]) for n in ("texts", "groups", "codes", "links")])
+
+
+class Memo:
+    """Alignments of windows under their id tuples, found by hash and compared id by id; those used last stay."""
+
+    def __init__(self, code: np.dtype):
+        none = np.zeros(0, np.int64)
+        self.windows, self.values, self.used = Windows(none, none), Aligned(np.zeros(0, object), none, np.zeros(0, code), none), none
+
+    def find(self, asked: Windows, now: int) -> np.ndarray:
+        """The slot of each window, -1 for those that aren't here."""
+        held = self.windows.hashes
+        if not len(held):
+            return np.full(len(asked.sizes), -1)
+        slot = np.minimum(np.searchsorted(held, asked.hashes), len(held) - 1)
+        met = np.flatnonzero(held[slot] == asked.hashes)
+        met = met[asked.same(met, self.windows, slot[met])]
+        out = np.full(len(slot), -1)
+        out[met] = slot[met]
+        self.used[slot[met]] = now
+        return out
+
+    def add(self, windows: Windows, values: Aligned, now: int) -> None:
+        """Take in windows that aren't here; beyond the limit the half that was used last stays."""
+        short = np.flatnonzero(windows.sizes <= MEMO_TOKENS)
+        every, known = self.windows.joined(windows.take(short)), self.values.joined(values.take(short))
+        used = np.r_[self.used, np.full(len(short), now)]
+        order = np.argsort(every.hashes, kind="stable")
+        if len(order) > MEMO_LIMIT:
+            late = np.sort(np.argsort(used[order], kind="stable")[-MEMO_LIMIT // 2 :])
+            order = order[late]
+        self.windows, self.values, self.used = every.take(order), known.take(order), used[order]
+
+
 class Aligner:
     """Alignments of texts under two tokenizer files."""
 
@@ -109,55 +191,47 @@ class Aligner:
         #: ids as text, with the mark that follows: within a part, after A's part, after a group
         self.n_shown = max(len(self.a.bytes), len(pieces))
         self.shown = [f"{i}{mark}" for mark in ",|;" for i in range(self.n_shown)]
-        self.memo: dict[tuple[int, ...], tuple[str, bytes, int]] = {}
-        self.older: dict[tuple[int, ...], tuple[str, bytes, int]] = {}
+        self.memo, self.now = Memo(self.code), 0
 
-    def ids_b(self, text: str) -> list[int]:
-        if len(text) <= BLOCK:
-            return self.b_of.encode(text, num_threads=1)
-        blocks = self.a_of.blocks(text)  # each but the first begins with a space, which B puts before a text itself
-        return [i for k, block in enumerate(blocks) for i in self.b_of.encode(block[1:] if k else block, num_threads=1)]
+    def ids(self, text: str) -> Iterator[tuple[np.ndarray, np.ndarray] | None]:
+        """Both sides' ids of a text's blocks in turn; None for a block that a side doesn't give back.
 
-    def ids(self, text: str) -> tuple[list[int], list[int]]:
-        """Both sides' ids; none where a side doesn't give the text back."""
-        data, a, b = b" " + text.encode(), self.a_of.ids(" " + text), self.ids_b(text)
-        same = b"".join(map(self.a.bytes.__getitem__, a)) == data and b"".join(map(self.b.bytes.__getitem__, b)) == data
-        return (a, b) if same else ([], [])
+        Each block begins with a space, which B puts before a text itself.
+        """
+        for block in self.a_of.blocks(" " + text):
+            data, a, b = block.encode(), self.a_of.block(block), self.b_of.encode(block[1:], num_threads=1)
+            same = b"".join(map(self.a.bytes.__getitem__, a)) == data and b"".join(map(self.b.bytes.__getitem__, b)) == data
+            yield (np.array(a), np.array(b)) if same else None
 
-    def windows(self, a: list[int], b: list[int]) -> Iterator[list[tuple[int, ...]]]:
-        """The id tuples between anchors, in runs of bounded length; a tuple has A's ids, then B's as their complements ~id.
+    def cut(self, a: np.ndarray, b: np.ndarray) -> tuple[Windows, np.ndarray]:
+        """The windows of ids that stand for the same bytes on both sides, and the places in A's ids where they begin.
 
-        Anchors are shared ends before tokens that begin with a space on both sides.
+        They are cut at anchors: shared ends before tokens that begin with a space on both sides.
         """
-        ids_a, ids_b = np.array(a), np.array(b)
-        ends_a, ends_b = np.cumsum(self.a.length[ids_a]), np.cumsum(self.b.length[ids_b])
+        ends_a, ends_b = np.cumsum(self.a.length[a]), np.cumsum(self.b.length[b])
         marks = np.zeros((2, int(ends_a[-1]) + 1), bool)
         marks[0, ends_a] = marks[1, ends_b] = True
         # the next token of each shared end, but for the last one's
         next_a, next_b = np.flatnonzero(marks[1, ends_a])[:-1] + 1, np.flatnonzero(marks[0, ends_b])[:-1] + 1
-        anchor = self.a.spaced[ids_a[next_a]] & self.b.spaced[ids_b[next_b]]
+        anchor = self.a.spaced[a[next_a]] & self.b.spaced[b[next_b]]
         next_a, next_b = next_a[anchor], next_b[anchor]
-        window, n_a = np.zeros(len(ids_a) + len(ids_b), np.int64), len(ids_a)
-        window[next_a] = window[next_b + n_a] = 1
-        window[n_a] = -len(next_a)  # B's windows are counted from 0 again
+        window = np.zeros(len(a) + len(b), np.int64)
+        window[next_a] = window[next_b + len(a)] = 1
+        window[len(a)] = -len(next_a)  # B's windows are counted from 0 again
         order = np.argsort(np.cumsum(window), kind="stable")
-        flat = tuple(np.concatenate([ids_a, ~ids_b])[order].tolist())
-        cuts = [0, *(next_a + next_b).tolist(), len(flat)]
-        for at in range(0, len(cuts) - 1, RUN):
-            of = cuts[at : at + RUN + 1]
-            yield [flat[i:j] for i, j in zip(of, of[1:])]
-
-    def align(self, keys: list[tuple[int, ...]]) -> list[tuple[str, bytes, int]]:
-        """Groups as text, links as codes, and the number of groups of each window, all windows at once."""
-        size = np.cumsum(np.fromiter(map(len, keys), np.int64, len(keys)))
-        flat = np.fromiter(chain.from_iterable(keys), np.int64, int(size[-1]))
-        of_a = flat >= 0
-        n_a, ids_a, ids_b = np.cumsum(of_a)[size - 1], flat[of_a], ~flat[~of_a]
+        flat = np.concatenate([a, ~b])[order]
+        return Windows(flat, np.diff(np.r_[0, next_a + next_b, len(flat)])), np.r_[0, next_a]
+
+    def align(self, windows: Windows) -> Aligned:
+        """The alignment of each window, all at once."""
+        of_a = windows.flat >= 0
+        ids_a, ids_b = windows.flat[of_a], ~windows.flat[~of_a]
+        size = np.cumsum(windows.sizes)
         ends_a, ends_b = np.cumsum(self.a.length[ids_a]), np.cumsum(self.b.length[ids_b])
         # between two ends of either side one A and one B token overlap: a link
         every = np.union1d(ends_a, ends_b)
         at_a, at_b = np.searchsorted(ends_a, every), np.searchsorted(ends_b, every)
-        codes = (ids_a[at_a] << self.shift | ids_b[at_b]).astype(self.code).tobytes()
+        codes = (ids_a[at_a] << self.shift | ids_b[at_b]).astype(self.code)
         shared = every[(ends_a[at_a] == every) & (ends_b[at_b] == every)]
         # the text has a group's A ids, then its B ids
         part = np.concatenate([2 * np.searchsorted(shared, ends_a), 2 * np.searchsorted(shared, ends_b) + 1])
@@ -165,57 +239,67 @@ class Aligner:
         part = part[order]
         mark = np.where(np.diff(part, append=-1) == 0, 0, 1 + part % 2)
         shown = list(map(self.shown.__getitem__, (np.concatenate([ids_a, ids_b])[order] + mark * self.n_shown).tolist()))
-        last = ends_a[n_a - 1]
-        tokens, width = size.tolist(), self.code.itemsize
-        links = (width * np.searchsorted(every, last, "right")).tolist()
-        groups = np.diff(np.searchsorted(shared, last, "right"), prepend=0).tolist()
-        rows = zip([0, *tokens], tokens, [0, *links], links, groups)
-        return [("".join(shown[i:j])[:-1], codes[k:n], g) for i, j, k, n, g in rows]
-
-    def _learn(self, keys: set[tuple[int, ...]]) -> dict:
-        """The alignments of windows that the newer generation lacks, all at once; short ones go into it."""
-        held = {key: self.older[key] for key in keys if key in self.older}
-        new = [key for key in keys if key not in held]
-        if new:
-            held.update(zip(new, self.align(new)))
-        if len(self.memo) + len(held) > MEMO_LIMIT:  # windows not met again since the older generation began go with it
-            self.memo, self.older = {}, self.memo
-        self.memo.update((key, h) for key, h in held.items() if len(key) <= MEMO_TOKENS)
-        return held
-
-    def _resolve(self, runs: list[tuple[int, list[tuple[int, ...]]]], texts: list[list], codes: list[list], groups: list[int]) -> None:
-        """Add the alignments of runs of windows to their documents'."""
-        found = [list(map(self.memo.get, keys)) for _, keys in runs]
-        missing = {key for (_, keys), held in zip(runs, found) if None in held for key, h in zip(keys, held) if h is None}
-        learnt = self._learn(missing) if missing else {}
-        for (k, keys), held in zip(runs, found):
-            shown, linked, counts = zip(*[learnt[key] if h is None else h for key, h in zip(keys, held)])
-            texts[k].append(";".join(shown))
-            codes[k].append(b"".join(linked))
-            groups[k] += sum(counts)
+        last = ends_a[np.cumsum(of_a)[size - 1] - 1]
+        texts = np.empty(len(size), object)
+        texts[:] = ["".join(shown[i:j])[:-1] for i, j in zip([0, *size.tolist()], size.tolist())]
+        count = lambda ends: np.diff(np.searchsorted(ends, last, "right"), prepend=0)
+        return Aligned(texts, count(shared), codes, count(every))
+
+    def known(self, windows: Windows) -> tuple[Aligned, np.ndarray]:
+        """Alignments of the distinct windows, and which of them each window has: from the memo, or made and kept."""
+        _, first, which = np.unique(windows.hashes, return_index=True, return_inverse=True)
+        if not windows.same(np.arange(len(which)), windows, first[which]).all():  # two tuples of one hash
+            return self.align(windows), np.arange(len(windows.sizes))
+        asked, self.now = windows.take(first), self.now + 1
+        slot = self.memo.find(asked, self.now)
+        new, old = np.flatnonzero(slot < 0), np.flatnonzero(slot >= 0)
+        values = self.memo.values.take(slot[old])
+        if len(new):
+            made = self.align(asked.take(new))
+            self.memo.add(asked.take(new), made, self.now)
+            values = values.joined(made)
+        place = np.empty(len(first), np.int64)
+        place[np.r_[old, new]] = np.arange(len(first))
+        return values, place[which]
 
     def alignments(self, texts: list[str | None]) -> list[dict]:
-        """The alignment of each text; windows of several texts are looked up together, about ``RUN`` at a time."""
+        """The alignment of each text; blocks of several texts are aligned together, about ``RUN`` tokens at a time."""
         n_a, n_b, groups = ([0] * len(texts) for _ in range(3))
         shown, codes = ([[] for _ in texts] for _ in range(2))
-        runs, held = [], 0
+        whole, held, size = [True] * len(texts), [], 0
+
+        def resolve() -> None:
+            a, b = (np.concatenate(side) for side in zip(*[ids for _, ids in held]))
+            windows, begin = self.cut(a, b)
+            values, which = self.known(windows)
+            ends = np.searchsorted(begin, np.cumsum([len(ids[0]) for _, ids in held]), "left").tolist()
+            links = np.cumsum(values.links[which])
+            every, counts = values.codes[ragged(values.starts[which], values.links[which])], np.cumsum(values.groups[which])
+            said, at, link, group = values.texts[which].tolist(), 0, 0, 0
+            for (k, _), to in zip(held, ends):
+                shown[k].append(";".join(said[at:to]))
+                codes[k].append(every[link : links[to - 1]])
+                groups[k] += int(counts[to - 1]) - group
+                at, link, group = to, int(links[to - 1]), int(counts[to - 1])
+
         for k, text in enumerate(texts):
-            a, b = self.ids(text) if text else ([], [])
-            n_a[k], n_b[k] = len(a), len(b)
-            for keys in self.windows(a, b) if a else ():
-                runs.append((k, keys))
-                held += len(keys)
-                if held >= RUN:
-                    self._resolve(runs, shown, codes, groups)
-                    runs, held = [], 0
-        if runs:
-            self._resolve(runs, shown, codes, groups)
+            for ids in self.ids(text) if text else ():
+                if ids is None:
+                    whole[k] = False
+                    break
+                held.append((k, ids))
+                n_a[k], n_b[k], size = n_a[k] + len(ids[0]), n_b[k] + len(ids[1]), size + len(ids[0])
+                if size >= RUN:
+                    resolve()
+                    held, size = [], 0
+        if held:
+            resolve()
         out = []
-        for row in zip(n_a, n_b, groups, shown, codes):
-            links = np.frombuffer(b"".join(row[4]), self.code)
+        for k, found in enumerate(codes):
+            links = np.concatenate(found) if found and whole[k] else np.zeros(0, self.code)
             pairs, times = np.unique(links, return_counts=True)
-            values = (*row[:3], len(links), ";".join(row[3]), pairs.tobytes(), times.astype("<u4").tobytes())
-            out.append(dict(zip(ALIGNMENT.fieldNames(), values)))
+            values = (n_a[k], n_b[k], groups[k], len(links), ";".join(shown[k])) if whole[k] else (0, 0, 0, 0, "")
+            out.append(dict(zip(ALIGNMENT.fieldNames(), (*values, pairs.tobytes(), times.astype("<u4").tobytes()))))
         return out
 
 

@@ -6,6 +6,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -85,9 +86,12 @@ def random_texts(n, seed=3):
     return ["".join(rng.choice(words) + rng.choice(["", " "]) for _ in range(rng.randint(0, 25))) for _ in range(n)]
 
 
-def test_alignment_against_all_byte_ranges(plain, monkeypatch):
-    monkeypatch.setattr(align, "RUN", 7)
+@pytest.mark.parametrize(("run", "mixed"), [(7, True), (300, True), (1 << 18, True), (300, False)])
+def test_alignment_against_all_byte_ranges(plain, monkeypatch, run, mixed):
+    monkeypatch.setattr(align, "RUN", run)
     monkeypatch.setattr(align, "MEMO_LIMIT", 50)
+    if not mixed:  # tuples that differ have one hash
+        monkeypatch.setattr(align.Windows, "_times", align.Windows._times * np.uint64(0) + np.uint64(1 << 60))
     aligner = align.Aligner(A, B)
     texts = random_texts(600)
     for text, found in zip(texts, aligner.alignments(texts)):
@@ -102,14 +106,14 @@ def test_texts_are_cut_where_tokens_end(monkeypatch):
     """The ids of the blocks of long texts are those of the libraries for the whole text."""
     import tessera.llm.tokenfile as tokenfile
 
-    monkeypatch.setattr(align, "BLOCK", 50)
     monkeypatch.setattr(tokenfile, "BLOCK", 50)
     aligner = align.Aligner(A, B)
     for text in [*random_texts(400, 5), *[(t + " abc de ") * 9 for t in random_texts(60, 6)], "the cat sat on the mat 12 3 a b", "don't cut 's here", "x" * 200 + " y"]:
         wanted = aligner.a_of.whole(" " + text), aligner.b_of.encode(text)
-        kept = aligner.ids(text)
+        blocks = list(aligner.ids(text))
+        kept = [[], []] if None in blocks else [sum((b[side].tolist() for b in blocks), []) for side in (0, 1)]
         same = all(b"".join(side.bytes[i] for i in ids) == (" " + text).encode() for side, ids in zip((aligner.a, aligner.b), wanted))
-        assert list(map(list, kept)) == (list(map(list, wanted)) if same else [[], []]), text
+        assert kept == (list(map(list, wanted)) if same else [[], []]), text
 
 
 @pytest.mark.parametrize("block", [1 << 21, 40])
