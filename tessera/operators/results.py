@@ -82,6 +82,43 @@ def summary(ranked: DataFrame) -> DataFrame:
     )
 
 
+# The columns of a search's result, in their order.
+WHOLE_RESULT = [
+    "company_id", "reason", "verdict", "verdict_reason", "name", "trade_name", "nif", "state", "confidence", "domain", "natural_person",
+    "phone", "email", "contact", "role", "uncontrasted", "in_review", "completeness", "size_lo", "size_hi", "size_source",
+]
+
+
+def whole_page(ranked: DataFrame, limit: int = 100, offset: int = 0) -> DataFrame:
+    """A page of a search with all its columns; those that neither results nor companies have are null."""
+    held = set(ranked.columns)
+    return page(ranked, limit, offset).select(*[F.col(c) if c in held else F.lit(None).cast("string").alias(c) for c in WHOLE_RESULT])
+
+
+def whole_summary(results: DataFrame, companies: DataFrame, ranked: DataFrame) -> DataFrame:
+    """``summary`` and ``rejected``: the results that were turned down, of companies that were not merged."""
+    down = results.where(F.col("verdict").isin(*REJECTED)).join(companies.where("merged_into is null").select("company_id"), "company_id", "left_semi")
+    return summary(ranked).crossJoin(down.agg(F.count(F.lit(1)).alias("rejected")))  # two single rows
+
+
+def asked_of_store(companies: DataFrame, channels: DataFrame, sample: int = 10) -> DataFrame:
+    """One row about a selection of companies: count, mean confidence, shares with phone, mail, web and number, and a sample.
+
+    The sample holds the companies of greatest confidence, taken in partial tops.
+    """
+    live = channels.where("state is null or state <> 'invalid'")
+    held = live.groupBy("company_id").agg(F.bool_or(F.col("kind") == "phone").alias("has_phone"), F.bool_or(F.col("kind") == "email").alias("has_email"))
+    rows = companies.join(held, "company_id", "left")
+    share = lambda c: F.round(100.0 * F.count_if(c) / F.greatest(F.count(F.lit(1)), F.lit(1)), 1)
+    stats = rows.agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg("confidence"), 3).alias("confidence"), share(F.col("has_phone")).alias("pct_phone"), share(F.col("has_email")).alias("pct_email"),
+        share(F.col("domain").isNotNull()).alias("pct_web"), share(F.col("nif").isNotNull()).alias("pct_nif"),
+    )
+    best = companies.orderBy(F.desc_nulls_last("confidence"), "company_id").limit(sample)
+    place = F.struct((-F.coalesce("confidence", F.lit(-1.0))).alias("c"), "company_id", "name", "domain")
+    return stats.crossJoin(best.agg(F.transform(F.sort_array(F.collect_list(place)), lambda x: x.dropFields("c")).alias("sample")))  # two single rows
+
+
 def deliverables(companies: DataFrame, sites: DataFrame, channels: DataFrame) -> DataFrame:
     """Living companies with their best active site, phone and generic e-mail."""
     order = F.struct((F.col("kind") != "sede_operativa").alias("a"), (F.col("kind") != "domicilio_social").alias("b"), _down("confidence").alias("c"), F.col("site_id").alias("d"))

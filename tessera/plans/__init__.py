@@ -1,3 +1,3 @@
 """Registered queries."""
 
-from tessera.plans import queries, upkeep_queries, whole_queries, worklist_queries  # noqa: F401
+from tessera.plans import entity_queries, queries, upkeep_queries, whole_queries, worklist_queries  # noqa: F401

@@ -111,7 +111,7 @@ def test_decisions_against_all_pairs(spark):
     for r in rows.select("record_id", "company_id", plain.alias("s")).collect():
         mine = scored[r["record_id"], r["company_id"]]
         assert (mine["score"], mine["decision"], mine["rule"]) == (r["s"]["score"], r["s"]["decision"], r["s"]["rule"])
-        if mine["decision"] != "different" and mine["rule"] not in ("R5", "R6"):
+        if mine["decision"] != "different":
             assert (r["record_id"], r["company_id"]) in gathered
     for key, *_ in RECORDS:
         mine = [(-scored[k].score, gathered[k], k[1]) for k in gathered if k[0] == key]
@@ -124,6 +124,41 @@ def test_decisions_against_all_pairs(spark):
     assert found[5]["action"] == "create"
 
 
+def test_rules_of_places_are_reached_through_the_radius(spark):
+    """R5 and R6 need neighbours, however their names are gathered; a like name too far away is no candidate."""
+    kinds = ", ".join(f"{k} {v}" for k, v in matching.FIELDS.items())
+    at = lambda i, name, lat, lon=-6.0: (i, None, None, name, "", "SL", [], [], [], None, None, None, lat, lon, None, None)
+    records = spark.createDataFrame([at(1, "alondra pinturas", 37.0), at(2, "gorrion y alondra pinturas decorativas", 37.0), at(3, "alondra pinturas", None, None)], f"record_id long, {kinds}")
+    companies = spark.createDataFrame([at(11, "alondra pinturas", 37.0002), at(12, "alondra pinturas", 37.5), at(13, "alondra pinturas", None, None), at(14, "otra cosa", 37.0001)], f"company_id long, {kinds}")
+    found = {(r["record_id"], r["company_id"]): r["gathered"] for r in matching.candidates(records, companies).collect()}
+    assert found == {(1, 11): 10, (1, 14): 20, (2, 11): 10, (2, 14): 20, (3, 11): 10, (3, 12): 10, (3, 13): 10}
+    pairs = spark.createDataFrame(list(found), "record_id long, company_id long")
+    rules = {(r["record_id"], r["company_id"]): r["rule"] for r in matching.compared(pairs, records, companies).collect()}
+    assert rules[1, 11] == "R9" and rules[2, 11] == "R5"
+    many_sites = spark.createDataFrame([(12, 37.4), (12, 37.01)], "company_id long, lat double").withColumn("lon", F.lit(-6.0))
+    assert (1, 12) in {(r["record_id"], r["company_id"]) for r in matching.candidates(records, companies, sites=many_sites).collect()}
+
+
+def test_stored_duplicates_against_all_pairs(spark):
+    kinds = ", ".join(f"{k} {v}" for k, v in matching.FIELDS.items())
+    companies = spark.createDataFrame(COMPANIES + [(18, "N2", True, "xyz", "", None, [], [], [], "mirlo.es", None, None, None, None, None, None)], f"company_id long, {kinds}")
+    found = {(r["a"], r["b"]): (r["score"], r["decision"], r["rule"]) for r in matching.stored_duplicates(companies).collect()}
+    ids = [r["company_id"] for r in companies.select("company_id").collect()]
+    pairs = spark.createDataFrame([(a, b) for a in ids for b in ids if a < b], "record_id long, company_id long")
+    scored = matching.compared(pairs, companies.withColumnRenamed("company_id", "record_id"), companies).collect()
+    wanted = {(r["record_id"], r["company_id"]): (r["score"], r["decision"], r["rule"]) for r in scored if r["decision"] != "different"}
+    assert found == wanted and len(wanted) >= 4
+
+
+def test_profiles_take_live_channels_and_the_best_site(spark):
+    companies = spark.createDataFrame([(1, "Obras Pérez SL", None, "N1", True, "SL", "p.es", None), (2, "x", None, None, None, None, None, 1)], "company_id long, name string, trade_name string, nif string, nif_valid boolean, form string, domain string, merged_into long")
+    channels = spark.createDataFrame([(1, "phone", "b", None), (1, "phone", "a", "valid"), (1, "phone", "c", "invalid"), (1, "email", "m", None)], "company_id long, kind string, value string, state string")
+    sites = spark.createDataFrame([(1, "otra", True, 0.9, "1", "p", 1.0, 1.0), (1, "sede_operativa", True, 0.1, "2", "q", 2.0, 2.0), (1, "sede_operativa", False, 1.0, "3", "r", 3.0, 3.0)], "company_id long, kind string, active boolean, confidence double, cp string, province string, lat double, lon double")
+    identifiers = spark.createDataFrame([(1, "sheet", "S2"), (1, "sheet", "S1"), (1, "other", "z")], "company_id long, kind string, value string")
+    rows = matching.profiles(companies, channels, sites, identifiers).collect()
+    assert [(r["company_id"], r["name"], r["phones"], r["emails"], r["cp"], r["lat"], r["sheet"], r["place_id"]) for r in rows] == [(1, "obras perez", ["a", "b"], ["m"], "2", 2.0, "S1", None)]
+
+
 def test_phones_at_any_place_of_a_list_are_a_contact(spark):
     records = spark.createDataFrame([(1, ["p", "q"])], "record_id long, phones array<string>")
     companies = spark.createDataFrame([(2, ["x", "y", "q"])], "company_id long, phones array<string>")
