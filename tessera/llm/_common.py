@@ -66,11 +66,11 @@ def bounded_batches() -> None:
         session.conf.set(name, BATCH_ROWS)
 
 
-def text_udf(make: Callable[[], Callable[[list], list]], returns: T.DataType) -> Callable[..., Column]:
+def text_udf(make: Callable[[], Callable[[list], list]], returns: T.DataType, rows: int = SLICE_ROWS) -> Callable[..., Column]:
     """Arrow UDF over one column.
 
     ``make`` runs once per task and returns a function from a list of values to
-    a list of results (dicts for a struct type), called on bounded slices. The
+    a list of results (dicts for a struct type), called on slices of ``rows``. The
     UDF is marked nondeterministic so that the optimiser never runs it twice.
     """
     bounded_batches()
@@ -80,8 +80,8 @@ def text_udf(make: Callable[[], Callable[[list], list]], returns: T.DataType) ->
         score, pool = _made(make), pa.default_memory_pool()
         for batch in batches:
             parts = [
-                pa.array(score(batch.slice(at, SLICE_ROWS).to_pylist()), kind)
-                for at in range(0, len(batch), SLICE_ROWS)
+                pa.array(score(batch.slice(at, rows).to_pylist()), kind)
+                for at in range(0, len(batch), rows)
             ]
             yield pa.concat_arrays(parts) if parts else pa.array([], kind)
             del batch, parts

@@ -396,8 +396,8 @@ class Decoder:
 class RunMemo:
     """Ids and decoded text of short runs, in two generations: runs not met again since the older one began go with it."""
 
-    def __init__(self, encoder: Encoder, decoder: Decoder):
-        self.encoder, self.decoder = encoder, decoder
+    def __init__(self, encoder: Encoder, decoder: Decoder, limit: int = MEMO_LIMIT):
+        self.encoder, self.decoder, self.limit = encoder, decoder, limit
         self.written = [str(i) for i in range(max(encoder.table.shown) + 1)]
         self.ids_of: dict[str, str] = {}
         self.shown_of: dict[str, str] = {}
@@ -406,7 +406,7 @@ class RunMemo:
     def hold(self, runs: set[str]) -> None:
         """Take in all runs that aren't too long."""
         fresh = runs.difference(self.ids_of)
-        if fresh and len(self.ids_of) + len(fresh) > MEMO_LIMIT:
+        if fresh and len(self.ids_of) + len(fresh) > self.limit:
             self.older, self.ids_of, self.shown_of, fresh = (self.ids_of, self.shown_of), {}, {}, runs
         ids_of, shown_of, new = *self.older, []
         for run in fresh:
@@ -472,8 +472,8 @@ class Digests:
         return {"n_tokens": self.n, "ids_sha256": self.ids.hexdigest(), "decoded_sha256": self.text.hexdigest()}
 
 
-def _digest_function(path: str):
-    memo = RunMemo(Encoder(path), Decoder(path))
+def _digest_function(path: str, limit: int):
+    memo = RunMemo(Encoder(path), Decoder(path), limit)
 
     def one(text: str) -> dict:
         out = Digests(memo)
@@ -519,10 +519,11 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded", sho
     return df.withColumn(out, text_udf(make, T.StringType())(F.col(ids)))
 
 
-def round_trip(df: DataFrame, path: str, text: str = "text", out: str = "bpe") -> DataFrame:
+def round_trip(df: DataFrame, path: str, text: str = "text", out: str = "bpe", limit: int = MEMO_LIMIT) -> DataFrame:
     """Adds the struct ``out``: n_tokens, ids_sha256 (decimal ids joined by a space) and decoded_sha256.
 
     Both digests are taken while tokens stream by, so neither the ids nor the
-    decoded text of a row is ever held whole.
+    decoded text of a row is ever held whole. ``limit`` bounds the runs that a
+    generation of a worker's memo holds; it changes memory and time only.
     """
-    return df.withColumn(out, text_udf(lambda: worker_state(("digests", path), lambda: _digest_function(path)), DIGESTS)(F.col(text)))
+    return df.withColumn(out, text_udf(lambda: worker_state(("digests", path, limit), lambda: _digest_function(path, limit)), DIGESTS)(F.col(text)))

@@ -101,7 +101,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
         return lambda texts: [counts(t) for t in texts]
 
     kind = T.ArrayType(T.StructType([T.StructField("b", T.IntegerType()), T.StructField("n", T.LongType())]))
-    counted = chosen.select("lang", F.explode(text_udf(make, kind)("text")).alias("c")).groupBy("lang", "c.b").agg(F.sum("c.n").alias("n"))
+    counted = chosen.select("lang", F.explode(text_udf(make, kind, rows=16)("text")).alias("c")).groupBy("lang", "c.b").agg(F.sum("c.n").alias("n"))
     found = counted.toPandas()  # at most BUCKETS rows a language
     languages = sorted(sizes)
     table = np.full((BUCKETS, len(languages)), 0.5)
