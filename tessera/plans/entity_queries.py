@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions import ident
 from tessera.functions.html import html_text
-from tessera.operators import alternatives, filters, merging, names, results
-from tessera.plans.queries import AS_OF, CONSOLIDATED, FACETS, RANKED, _ranked, query
+from tessera.operators import alternatives, filters, merging, names, results, site_records
+from tessera.plans.queries import AS_OF, CONSOLIDATED, RANKED, _ranked, query
 from tessera.plans.tables import ctes, derived, read
 from tessera.storage import new_path
 from tessera.streaming.golden import GoldenStore
@@ -191,3 +192,63 @@ def alternatives_on_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     word = F.regexp_replace(F.element_at(F.split(F.col("url"), "/"), -1), "[^A-Za-z]+", " ")
     listed = pages.select(F.col("page_id").alias("conflict_id"), F.col("page_id").alias("site"), F.lit("razon_social").alias("field"), F.array_distinct(F.concat(F.split(word, " "), F.array(F.lit("the"), F.lit("der"), F.lit("que")))).alias("alternatives"))
     return alternatives.only_alternatives(listed, pages.select(F.col("page_id").alias("site"), html_text(F.col("html")).alias("text")))
+
+
+# People and records of sites
+
+
+@query(
+    """WITH p AS (SELECT o_orderkey AS site, o_custkey AS c, o_orderkey % 200 AS gap FROM orders),
+x AS (SELECT site, 'Ana Ruiz Gil' AS name, CASE site % 4 WHEN 0 THEN 'Gerente' WHEN 1 THEN 'Contacto' WHEN 2 THEN 'Jefa de obra' ELSE 'Directora ' || chr(10) || ' técnica' END AS role, gap FROM p
+      UNION ALL SELECT site, 'Gerente Luis', 'Gerente', gap FROM p UNION ALL SELECT site, 'Eva Sol', 'Gerente', gap FROM p UNION ALL SELECT site, 'Nadie Aquí', 'Gerente', gap FROM p)
+SELECT site, name, role FROM x WHERE (name = 'Ana Ruiz Gil' AND (site % 4 = 1 OR (site % 4 = 0 AND gap <= 112))) OR name = 'Eva Sol'"""
+)
+def told_people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """People that a model read on made-up pages: two people, one role, at different distances.
+
+    A gerente stands before Eva Sol, and as far behind Ana Ruiz Gil as the page's key says.
+    """
+    k = F.col("o_orderkey")
+    body = F.concat(F.lit("Gerente: Eva  Sol. "), F.repeat(F.lit("x"), F.lit(300)), F.lit(" Ana Ruiz\nGil "), F.repeat(F.lit("-"), (k % 200).cast("int")), F.lit("gerente"))
+    orders = read(spark, sf_dir, "orders")
+    role = F.when(k % 4 == 0, "Gerente").when(k % 4 == 1, "Contacto").when(k % 4 == 2, "Jefa de obra").otherwise("Directora \n técnica")
+    one = lambda name, role: F.struct(F.lit(name).alias("name"), role.alias("role"))
+    listed = F.array(one("Ana Ruiz Gil", role), one("Gerente Luis", F.lit("Gerente")), one("Eva Sol", F.lit("Gerente")), one("Nadie Aquí", F.lit("Gerente")))
+    people = orders.select(k.alias("site"), F.explode(listed).alias("p")).select("site", "p.*")
+    return site_records.told_people(orders.select(k.alias("site"), body.alias("text")), people)
+
+
+@query(
+    """WITH o AS (SELECT o_orderkey AS k, o_custkey AS c, o_orderkey % 4 AS m FROM orders), v AS (SELECT *, lpad(CAST(k % 10000000 AS VARCHAR), 7, '0') AS d FROM o),
+w AS (SELECT *, (10 - (CAST(d[2] AS INT) + CAST(d[4] AS INT) + CAST(d[6] AS INT) + list_sum([CAST(d[i] AS INT) * 2 // 10 + CAST(d[i] AS INT) * 2 % 10 FOR i IN [1, 3, 5, 7]])) % 10) % 10 AS control FROM v)
+SELECT k AS site, CASE WHEN m <> 1 THEN 'Obras ' || c || ' S.L' END AS name, CASE WHEN m <> 1 THEN 'B' || d || CAST(control AS VARCHAR) END AS nif, CASE WHEN m = 1 THEN 'Hosting ' || c || ' S.L' END AS dropped_name,
+  '+34954123456' AS phones, CASE WHEN m = 2 THEN 'a@obras' || c || '.es' ELSE 'a@obras' || c || '.es,b@otra.es' END AS emails, 'Ana Ruiz Gil:Gerente' AS people FROM w WHERE m <> 3"""
+)
+def records_of_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of made-up sites: companies, a provider of sites, and public bodies, which give none."""
+    k, c, m = F.col("o_orderkey"), F.col("o_custkey").cast("string"), F.col("o_orderkey") % 4
+    d = F.lpad((k % 10_000_000).cast("string"), 7, "0")
+    name = F.when(m == 1, F.concat(F.lit("Hosting "), c)).when(m == 3, F.concat(F.lit("Consorcio "), c)).otherwise(F.concat(F.lit("Obras "), c))
+    body = F.concat(
+        F.lit("Titular: "), name, F.lit(" S.L., sociedad\nCIF: B-"), d, ident.company_control(d), F.lit("\nTel. 954 12 34 56, +33 1 23 45 67 89\nEmail: a@obras"), c,
+        F.lit(".es b@otra.es\nGerente: Ana Ruiz Gil\n"),
+    )
+    sites = read(spark, sf_dir, "orders").select(k.alias("site"), body.alias("text"), F.when(m == 2, F.concat(F.lit("obras"), c, F.lit(".es"))).alias("domain"))
+    told = sites.select("site", F.lit("ANA RUIZ GIL").alias("name"), F.lit("Gerente").alias("role"))
+    found = site_records.site_records(sites, told)
+    shown = F.array_join(F.transform("people", lambda p: F.concat_ws(":", p["name"], p["role"])), ";")
+    return found.select("site", "name", "nif", "dropped_name", F.array_join("phones", ",").alias("phones"), F.array_join("emails", ",").alias("emails"), shown.alias("people"))
+
+
+@query(
+    """WITH l AS (SELECT o_orderkey AS k, o_custkey AS c FROM orders)
+SELECT k, (k % 3 = 0) OR (k % 5 = 0) OR (k % 7 = 0) AS matches FROM l"""
+)
+def record_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a record found for a company is its own: by number, by phone in another spelling, or by agreeing names."""
+    k = F.col("o_orderkey")
+    number, phone = F.concat(F.lit("b"), k.cast("string")), F.lpad((k % 1_000_000_000).cast("string"), 9, "6")
+    found = site_records.record_matches(
+        F.when(k % 3 == 0, F.upper(number)), F.array(F.concat(F.lit("+34"), phone), F.lit("12")), number, F.array(F.when(k % 5 == 0, phone).otherwise("911")), k % 7 == 0
+    )
+    return read(spark, sf_dir, "orders").select(k.alias("k"), found.alias("matches"))
