@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from tessera.functions import ident
 from tessera.functions.html import html_text
-from tessera.operators import alternatives, filters, merging, names, results, site_records
+from tessera.operators import alternatives, filters, matching, merging, names, results, site_records
 from tessera.plans.queries import AS_OF, CONSOLIDATED, RANKED, _ranked, query
 from tessera.plans.tables import ctes, derived, read
 from tessera.storage import new_path
 from tessera.streaming.golden import GoldenStore
+from tessera.streaming.process import Processor, store_of
 
 # Names
 
@@ -252,3 +253,28 @@ def record_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(k % 3 == 0, F.upper(number)), F.array(F.concat(F.lit("+34"), phone), F.lit("12")), number, F.array(F.when(k % 5 == 0, phone).otherwise("911")), k % 7 == 0
     )
     return read(spark, sf_dir, "orders").select(k.alias("k"), found.alias("matches"))
+
+
+# Raw records batch by batch
+
+
+@query(
+    """WITH o AS (SELECT CAST(o_orderkey AS VARCHAR) AS record_id, o_custkey AS c, o_orderkey % 2 AS b FROM orders),
+m AS (SELECT c, min('c:' || record_id) AS e FROM o WHERE b = 0 GROUP BY 1)
+SELECT record_id, CASE WHEN b = 1 AND e IS NOT NULL THEN e ELSE 'c:' || record_id END AS entity, CASE WHEN b = 1 AND e IS NOT NULL THEN 'review' ELSE 'create' END AS action FROM o LEFT JOIN m USING (c)"""
+)
+def processed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where orders go as raw records of numbers alone, in two batches, the second delivered twice.
+
+    Records of one number and no name are perhaps one company: later ones join the first in doubt.
+    """
+    k = F.col("o_orderkey")
+    none = {name: F.lit(None).cast(kind).alias(name) for name, kind in matching.FIELDS.items() if name not in ("nif", "nif_valid")}
+    rows = read(spark, sf_dir, "orders").select(
+        k.cast("string").alias("record_id"), F.lit("orders").alias("source"), F.lit("g").alias("source_group"), F.lit(0.8).alias("confidence"), F.col("o_orderdate").alias("observed_at"), F.lit(False).alias("official"),
+        F.concat(F.lit("N"), F.col("o_custkey").cast("string")).alias("nif"), F.lit(True).alias("nif_valid"), *none.values(), (k % 2).alias("b"),
+    )
+    held = Processor(store_of(spark, new_path(spark, "process")))
+    as_of = F.lit(AS_OF).cast("timestamp")
+    first, _, second = (held.add(b, rows.where(f"b = {b}").drop("b"), as_of) for b in (0, 1, 1))
+    return first.unionByName(second).select("record_id", "entity", "action")

@@ -360,7 +360,7 @@ def stored_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def homonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Companies of like names in different register sheets. SQL has no sequence matching."""
+    """Companies in different register sheets whose names are letter by letter alike. Tests hold it against all pairs."""
     return matching.homonyms(_stored(spark, sf_dir))
 
 

@@ -84,23 +84,26 @@ class GoldenStore:
         rows = self._table("moved", MOVED, "batch")
         return rows.groupBy("record_id").agg(F.max_by("new_entity", "batch").alias("new_entity"))
 
-    def evidence(self, touched: DataFrame | None = None) -> DataFrame:
-        """All observations, each of the entity it belongs to now; those of the entities ``touched`` only, if given."""
-        rows = self._table("evidence", OBSERVATION, "batch", "part")
+    def evidence(self, touched: DataFrame | None = None, before: int | None = None) -> DataFrame:
+        """All observations, each of the entity it belongs to now; those of the entities ``touched`` and of batches under ``before`` only, if given."""
+        rows = self._held(before)
         if touched is not None:
             rows = rows.where(F.col("part").isin(self._parts_of(touched)))
         rows = rows.join(self.moved(), "record_id", "left").where("new_entity is null").drop("new_entity")
-        split = self._moved_evidence()
+        split = self._moved_evidence(before)
         every = rows.select(*NAMES).unionByName(split.select(*NAMES))
         return every.join(touched, "entity", "left_semi") if touched is not None else every
 
-    def _moved_evidence(self) -> DataFrame:
+    def _held(self, before: int | None = None) -> DataFrame:
+        rows = self._table("evidence", OBSERVATION, "batch", "part")
+        return rows if before is None else rows.where(F.col("batch") < before)
+
+    def _moved_evidence(self, before: int | None = None) -> DataFrame:
         """Observations of split records under their new entity, read from the parts of the entities they were split from."""
         splits = self._table("moved", MOVED, "batch")
         if not splits.take(1):
             return self.spark.createDataFrame([], OBSERVATION)
-        held = self._table("evidence", OBSERVATION, "batch", "part")
-        held = held.where(F.col("part").isin(self._parts_of(splits.select("entity"))))
+        held = self._held(before).where(F.col("part").isin(self._parts_of(splits.select("entity"))))
         return held.drop("entity").join(self.moved(), "record_id").withColumnRenamed("new_entity", "entity")
 
     def _parts_of(self, entities: DataFrame) -> list[int]:
