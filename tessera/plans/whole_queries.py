@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text
 from tessera.operators import resolution
-from tessera.operators.joins import tiled_join
 from tessera.plans.queries import query
 from tessera.plans.tables import derived, read
 from tessera.storage import stored
@@ -38,7 +37,5 @@ def duplicate_groups_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     cards = stored(text_cards(spark, sf_dir), "cards")
     names = cards.where("name is not null").select("name").distinct()
     alike = resolution.similar_names(names, names, "name", "name", least=0.6).select(F.col("l_key").alias("a_name"), F.col("r_key").alias("b_name"))
-    phones = cards.where("name is not null").select("card", "name", F.explode("phones").alias("phone"))
-    pairs = tiled_join(phones.toDF("a", "a_name", "phone"), phones.toDF("b", "b_name", "phone"), ["phone"]).where("a < b")
-    similar = pairs.select("a", "b", "a_name", "b_name").distinct().join(alike, ["a_name", "b_name"]).select("a", "b")
+    similar = stored(resolution.phone_stars(cards, alike), "phone-links")
     return resolution.duplicate_groups(resolution.duplicate_links(cards.drop("name"), similar))
