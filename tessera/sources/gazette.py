@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,9 +56,8 @@ def _after(body: Column, *labels: str) -> Column:
 
 def _until(text: Column, headings: list[str]) -> Column:
     """A section's text up to the first sentence that begins with another section's heading."""
-    places = [F.nullif(F.regexp_instr(text, F.lit(rf"[.][\s-]*{heading}\b")), F.lit(0)) for heading in headings]
-    end = F.array_min(F.array(*places))
-    return F.when(end.isNotNull(), F.left(text, end - 1)).otherwise(F.regexp_replace(text, r"[.]\s*$", ""))
+    end = F.regexp_instr(text, F.lit(rf"[.][\s-]*(?:{'|'.join(headings)})\b"))
+    return F.when(end > 0, F.left(text, end - 1)).otherwise(F.regexp_replace(text, r"[.]\s*$", ""))
 
 
 def _postal_code(address: Column, before_town: Column) -> Column:
@@ -92,24 +93,32 @@ def _named(held: Column, role: str, title: str) -> Column:
     return F.transform(names, lambda n: F.struct(n.alias("name"), F.lit(role).alias("role")))
 
 
-def act_fields(body: Column) -> dict[str, Column]:
-    """Everything that an act's paragraph says, section by section."""
-    plain = F.concat(F.lit(" "), norm_text(body), F.lit(" "))
+def act_fields(body: Column, keep: Callable[[str, Column], Column] = lambda name, c: c) -> dict[str, Column]:
+    """Everything that an act's paragraph says, section by section.
+
+    ``keep`` is asked for each value that several others look at; it may make it
+    a column of its own, so that the value is computed once a row.
+    """
+    plain = keep("_plain", F.concat(F.lit(" "), norm_text(body), F.lit(" ")))
     kinds = {k: plain.contains(f" {words} " if words in WHOLE_WORDS else words) for k, words in ACT_KINDS.items()}
-    said = F.regexp_replace(_until(_after(body, "Domicilio:", "Cambio de domicilio social."), AFTER_ADDRESS), r"\s+", " ")
-    address = F.coalesce(F.trim(said, F.lit(" .,-")), F.lit(""))
-    in_brackets = F.substring_index(F.substring_index(address, "(", -1), ")", 1)
-    has_town = address.endswith(")") & address.contains("(") & (F.length(in_brackets) + 1 == F.length(F.substring_index(address, "(", -1))) & (in_brackets != "")
+    domicile = keep("_domicile", _after(body, "Domicilio:", "Cambio de domicilio social."))
+    said = F.regexp_replace(_until(domicile, AFTER_ADDRESS), r"\s+", " ")
+    address = keep("_address", F.coalesce(F.trim(said, F.lit(" .,-")), F.lit("")))
+    tail = keep("_tail", F.substring_index(address, "(", -1))
+    in_brackets = keep("_brackets", F.substring_index(tail, ")", 1))
+    has_town = keep("_town", address.endswith(")") & address.contains("(") & (F.length(in_brackets) + 1 == F.length(tail)) & (in_brackets != ""))
     before_town = F.when(has_town, F.left(address, F.length(address) - F.length(in_brackets) - 2)).otherwise(address)
-    amount = F.trim(F.substring_index(_after(body, "Capital:"), "Euros", 1))
+    capital = keep("_capital", _after(body, "Capital:"))
+    amount = keep("_amount", F.trim(F.substring_index(capital, "Euros", 1)))
+    purpose = keep("_purpose", _after(body, "Objeto social:"))
     return {
         "kinds": F.array_compact(F.array(*[F.when(said_so, k) for k, said_so in kinds.items()])),
         "address": _blank_null(address),
         "postal_code": F.when(address != "", _postal_code(address, before_town)),
         "municipality": F.when(has_town, F.trim(in_brackets)),
         "sheet": _blank_null(F.replace(F.regexp_extract(body, r"\bH ?([A-Z]{1,2} ?[0-9]+)", 1), F.lit(" "), F.lit(""))),
-        "purpose": _blank_null(F.trim(_until(_after(body, "Objeto social:"), AFTER_PURPOSE))),
-        "capital": F.when(amount.rlike("^[0-9.,]+$") & _after(body, "Capital:").contains("Euros"), amount),
+        "purpose": _blank_null(F.trim(_until(purpose, AFTER_PURPOSE))),
+        "capital": F.when(amount.rlike("^[0-9.,]+$") & capital.contains("Euros"), amount),
         "people": _people(body),
     }
 
@@ -128,7 +137,13 @@ def acts(listings: DataFrame, xml: str = "xml") -> DataFrame:
     rows = rows.select("issue", "published", head.alias("head"), F.coalesce("t.body._VALUE", F.lit("")).alias("body"))
     number = _blank_null(F.regexp_extract("head", r"^(\d+)\s*-\s*.+", 1))
     name = F.trim(F.regexp_replace(F.regexp_replace("head", r"^\d+\s*-\s*", ""), r"\.\s*$", ""))
-    fields = act_fields(F.col("body"))
+
+    def keep(kept: str, c: Column) -> Column:
+        nonlocal rows
+        rows = rows.withColumn(kept, c)
+        return F.col(kept)
+
+    fields = act_fields(F.col("body"), keep)
     out = rows.select("issue", "published", number.alias("act_id"), name.alias("name"), *[c.alias(k) for k, c in fields.items()])
     gone = F.arrays_overlap("kinds", F.array(F.lit("extincion"), F.lit("disolucion")))
     return out.withColumn("state", F.when(gone, "disuelta"))
