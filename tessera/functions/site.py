@@ -52,7 +52,7 @@ def numbers(body: Column) -> Column:
         valid = t["valid"]
         first = F.filter(valid, lambda p: ~F.exists(valid, lambda o: (o["n"]["nif"] == p["n"]["nif"]) & (o["at"] < p["at"])))
         near = lambda p, chars: F.translate(_around(t["plain"], p["at"], chars), ".", "")
-        says = lambda p, chars, words: F.exists(F.array(*map(F.lit, words)), lambda w: near(p, chars).contains(w))
+        says = lambda p, chars, words: _let(near(p, chars), lambda n: F.exists(F.array(*map(F.lit, words)), lambda w: n.contains(w)))
         told = F.transform(first, lambda p: F.struct(says(p, AGENCY_CHARS, AGENCY_WORDS).alias("agency"), (~says(p, LABEL_CHARS, NUMBER_LABELS)).alias("bare"), p["at"].alias("at"), p["n"]["nif"].alias("nif"), p["n"]["kind"].alias("kind")))
         return F.transform(F.array_sort(told), lambda m: F.struct(m["nif"], m["kind"], (~m["bare"]).alias("labelled"), m["agency"], m["at"]))
 
@@ -69,11 +69,11 @@ def company_name(c: Column) -> Column:
     """A candidate without its lead-in; null if it reads like legal text or is no name by its length."""
 
     def without(name: Column, prefix: Column) -> Column:
-        begins = _plain(name).startswith(F.concat(prefix, F.lit(" "))) | _plain(name).startswith(F.concat(prefix, F.lit(":")))
+        begins = _let(_plain(name), lambda p: p.startswith(F.concat(prefix, F.lit(" "))) | p.startswith(F.concat(prefix, F.lit(":"))))
         return F.when(begins, F.ltrim(F.substring(name, F.length(prefix) + 1, F.length(name)), F.lit(" :"))).otherwise(name)
 
     def judged(name: Column) -> Column:
-        legal = F.exists(F.array(*map(F.lit, LEGAL_PHRASES)), lambda phrase: _plain(name).contains(phrase))
+        legal = _let(_plain(name), lambda p: F.exists(F.array(*map(F.lit, LEGAL_PHRASES)), lambda phrase: p.contains(phrase)))
         return F.when(F.length(name).between(3, 100) & (F.size(F.split(name, " ")) <= 12) & ~legal, name)
 
     bare = F.reduce(F.array(*map(F.lit, NAME_PREFIXES)), F.trim(F.regexp_replace(c, r"\s+", " ")), without)
@@ -85,12 +85,12 @@ def company_names(body: Column) -> Column:
 
     def found(lines: Column) -> Column:
         def labelled(line: Column) -> Column:
-            label = F.filter(F.array(*map(F.lit, NAME_LABELS)), lambda w: F.split_part(_plain(line), F.lit(":"), F.lit(1)).contains(w))
+            label = _let(_plain(F.substring_index(line, ":", 1)), lambda head: F.exists(F.array(*map(F.lit, NAME_LABELS)), lambda w: head.contains(w)))
             said = F.regexp_replace(F.substring(line, F.instr(line, ":") + 1, F.length(line)), r"[;|(].*$", "")
-            return F.when((F.instr(line, ":") > 0) & (F.size(label) > 0), F.split_part(said, F.lit(", "), F.lit(1)))
+            return F.when(line.contains(":"), F.when(label, F.split_part(said, F.lit(", "), F.lit(1))))
 
         phrases = F.flatten(F.transform(lines, lambda line: F.split(line, r"[;:|()]|\.\s")))
-        agency = lambda x: F.exists(F.array(*map(F.lit, AGENCY_WORDS)), lambda w: _plain(x).contains(w))
+        agency = lambda x: _let(_plain(x), lambda p: F.exists(F.array(*map(F.lit, AGENCY_WORDS)), lambda w: p.contains(w)))
         formal = F.filter(phrases, lambda x: x.rlike(r"^\s*[\p{Lu}0-9]") & (F.length(x) <= 100) & ~agency(x) & text.legal_form(x)["form"].isNotNull())
         both = F.concat(F.array_compact(F.transform(lines, labelled)), formal)
         return F.array_compact(F.transform(both, lambda x: company_name(F.trim(x, F.lit(" .,:")))))
