@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import export, record, site, text
 from tessera.operators.worklist import name_kind
+from tessera.storage import stored
 
 # Words that no person's name has, and titles that say nothing about a role.
 NO_NAME = [
@@ -68,7 +69,8 @@ def site_records(sites: DataFrame, people: DataFrame | None = None, key: str = "
     the rules as far as ``told_people`` believes them; each name once, ``MOST_PEOPLE`` at most.
     """
     legal = site.legal_data(F.coalesce(F.col("text"), F.lit("")))
-    rows = sites.select(key, "domain", legal.alias("r"))
+    # written before it is filtered: each filter would read the texts anew
+    rows = stored(sites.select(key, "domain", legal.alias("r")), "legal-data")
     mails = F.transform("r.emails", lambda m: m["email"])
     rows = rows.where(~export.directory_page(F.col("r.phones"), mails))
     name = F.get("r.names", F.lit(0))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import ident
 from tessera.functions.html import html_text
 from tessera.operators import alternatives, filters, matching, merging, names, results, site_records
+from tessera.operators.joins import spread
 from tessera.plans.queries import AS_OF, CONSOLIDATED, RANKED, _ranked, query
 from tessera.plans.tables import ctes, derived, read
 from tessera.storage import new_path
@@ -234,7 +235,7 @@ def records_of_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("Titular: "), name, F.lit(" S.L., sociedad\nCIF: B-"), d, ident.company_control(d), F.lit("\nTel. 954 12 34 56, +33 1 23 45 67 89\nEmail: a@obras"), c,
         F.lit(".es b@otra.es\nGerente: Ana Ruiz Gil\n"),
     )
-    sites = read(spark, sf_dir, "orders").select(k.alias("site"), body.alias("text"), F.when(m == 2, F.concat(F.lit("obras"), c, F.lit(".es"))).alias("domain"))
+    sites = spread(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")).select(k.alias("site"), body.alias("text"), F.when(m == 2, F.concat(F.lit("obras"), c, F.lit(".es"))).alias("domain"))
     told = sites.select("site", F.lit("ANA RUIZ GIL").alias("name"), F.lit("Gerente").alias("role"))
     found = site_records.site_records(sites, told)
     shown = F.array_join(F.transform("people", lambda p: F.concat_ws(":", p["name"], p["role"])), ";")

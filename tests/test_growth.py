@@ -72,3 +72,7 @@ def test_province_names_are_looked_up_once(spark):
     found = [r["c"] for r in spark.createDataFrame([(n,) for n in names], "n string").select(ident.province_code(F.col("n")).alias("c")).collect()]
     assert found == [f"{i:02d}" for i in range(1, 53)] + list(ident.PROVINCE_ALIASES.values()) + [None] * 3
     assert plan(spark.range(1).select(ident.province_code(F.col("id").cast("string")).alias("x"))).count("translate") <= 1
+
+
+def test_texts_of_sites_are_read_once(spark):
+    assert "registro mercantil" not in plan(QUERIES["records_of_sites"](spark, SF))  # its filters would each read them anew
