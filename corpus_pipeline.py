@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, decontam, langid, nearcopies, toxicity
-from tessera.llm._common import free_name, new_path
+from tessera.llm import bpe, decontam, langid, nearcopies, simhash, toxicity
+from tessera.llm._common import free_name, new_path, stored
+from tessera.operators.graph import components
 
 #: Runs that the last stage's memo holds a generation: executors that have run four stages before have less room.
 MEMO_RUNS = 30_000
@@ -31,8 +32,16 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies (5-word Jaccard of 0.8 or more): that of the smallest id."""
-    return nearcopies.deduplicated(docs)
+    """One document of each class of near copies: that of the smallest id.
+
+    Texts are linked by SimHash fingerprints at 4 bits, and by a 5-word Jaccard similarity of 0.8 or more,
+    whose fingerprints may differ in more; classes are those of both together.
+    """
+    near = stored(nearcopies.near_copies(docs), "near-copies")
+    links = near.unionByName(simhash.near_duplicates(docs).select("doc_id", "component_id"))
+    roots = stored(components(links, "doc_id", "component_id").withColumnRenamed("node", "doc_id"), "classes")
+    classes = near.select("doc_id").join(roots, "doc_id", "left").select("doc_id", F.coalesce("root", "doc_id").alias("component_id"))
+    return simhash.first_rows(docs, classes, "doc_id")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -67,3 +67,15 @@ def test_rows_that_go_whatever_the_filter_keeps_by_chance(spark, monkeypatch, bi
     assert {r["text"] for r in twice.where("doc_id in (7, 8)").collect()} == {"a first", "text 8"}
     assert twice.count() == 302
 
+
+def test_near_duplicates_are_classes_of_simhash_and_of_shingles(spark, docs, monkeypatch):
+    """A text that only fingerprints link goes, and a chain of links of both kinds is one class."""
+    from tessera.llm import nearcopies, simhash
+
+    held = {r["doc_id"] for r in docs.where("doc_id is not null").select("doc_id").collect()}
+    one, two, three = sorted(held)[:3]
+    said = lambda **links: lambda rows: rows.where("doc_id is not null").select("doc_id", F.lit(0).cast("long").alias("fp"), F.when(F.col("doc_id") == links["of"], links["to"]).otherwise(F.col("doc_id")).alias("component_id"))
+    monkeypatch.setattr(simhash, "near_duplicates", said(of=two, to=one))
+    monkeypatch.setattr(nearcopies, "near_copies", lambda rows: said(of=three, to=two)(rows).drop("fp"))
+    kept = {r["doc_id"] for r in STAGES["near_duplicates"](spark, docs, SF).where("doc_id is not null").select("doc_id").collect()}
+    assert kept == held - {two, three}
