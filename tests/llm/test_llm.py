@@ -177,6 +177,22 @@ def test_near_copies_against_all_pairs(spark, docs, monkeypatch):
     assert {r["doc_id"]: r["component_id"] for r in nearcopies.near_copies(rows).collect()} == wanted
 
 
+def test_near_copies_move_few_bytes(spark):
+    """Texts that share bands and are no near copies: each is compared with its hub, and only packed words move."""
+    rng, texts = random.Random(9), []
+    for _ in range(150):
+        base = [f"w{rng.randrange(4000)}" for _ in range(400)]
+        texts += [" ".join(base[: 300 + 10 * copy] + [f"v{rng.randrange(4000)}" for _ in range(100 - 10 * copy)]) for copy in range(4)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2).cache()
+    rows.count()
+    store = spark.sparkContext._jsc.sc().statusStore()
+    moved = lambda: (lambda x: sum(x.apply(i).totalShuffleWrite() for i in range(x.size())))(store.executorList(True))
+    before = moved()
+    found = {r["doc_id"]: r["component_id"] for r in nearcopies.near_copies(rows).collect()}
+    assert found == _jaccard_classes(dict(enumerate(texts)))
+    assert moved() - before < 2 * sum(map(len, texts))  # 4.3 when hashes of whole sets moved
+
+
 def test_near_copies_odd_rows(odd, empty):
     kept = nearcopies.deduplicated(odd)
     assert kept.columns == odd.columns
