@@ -76,3 +76,12 @@ def test_province_names_are_looked_up_once(spark):
 
 def test_texts_of_sites_are_read_once(spark):
     assert "registro mercantil" not in plan(QUERIES["records_of_sites"](spark, SF))  # its filters would each read them anew
+
+
+def test_values_of_lambdas_are_computed_once(spark):
+    texts = spark.range(1).select(F.col("id").cast("string").alias("s"))
+    mentions = lambda f, mark: plan(texts.select(F.transform(F.array("s"), f).alias("x"))).count(mark)
+    for f, mark in ((ident.nif_check, "[^A-Za-z0-9]"), (ident.phone, "[^0-9], "), (ident.email, "arroba"), (ident.domain, "^[a-z]+://"), (ident.postal_code, "[^0-9], ")):
+        assert mentions(f, mark) == 1, f.__name__
+    spelt = plan(texts.select(ident.privacy_mailbox(F.col("s")).alias("x")))
+    assert spelt.count("lower(") == 1
