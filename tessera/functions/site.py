@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,9 +28,9 @@ def _plain(c: Column) -> Column:
     return F.lower(text.strip_accents(c))
 
 
-def _let(value: Column, use) -> Column:
-    """``use(value)`` with the value computed once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+def _any(words: list[str]) -> str:
+    """A pattern of some plain words."""
+    return "|".join(map(re.escape, words))
 
 
 def _around(body: Column, at: Column, chars: int) -> Column:
@@ -52,12 +54,13 @@ def numbers(body: Column) -> Column:
         valid = t["valid"]
         first = F.filter(valid, lambda p: ~F.exists(valid, lambda o: (o["n"]["nif"] == p["n"]["nif"]) & (o["at"] < p["at"])))
         near = lambda p, chars: F.translate(_around(t["plain"], p["at"], chars), ".", "")
-        says = lambda p, chars, words: _let(near(p, chars), lambda n: F.exists(F.array(*map(F.lit, words)), lambda w: n.contains(w)))
+        says = lambda p, chars, words: near(p, chars).rlike(_any(words))
         told = F.transform(first, lambda p: F.struct(says(p, AGENCY_CHARS, AGENCY_WORDS).alias("agency"), (~says(p, LABEL_CHARS, NUMBER_LABELS)).alias("bare"), p["at"].alias("at"), p["n"]["nif"].alias("nif"), p["n"]["kind"].alias("kind")))
         return F.transform(F.array_sort(told), lambda m: F.struct(m["nif"], m["kind"], (~m["bare"]).alias("labelled"), m["agency"], m["at"]))
 
     body = F.coalesce(body, F.lit(""))
-    return _let(_let(F.struct(F.upper(body).alias("upper"), _plain(body).alias("plain")), placed), marked)
+    both = lambda b: F.struct(F.upper(b).alias("upper"), _plain(b).alias("plain"))
+    return text.let(text.let(text.let(body, both), placed), marked)
 
 
 def owner_number(found: Column) -> Column:
@@ -69,15 +72,25 @@ def company_name(c: Column) -> Column:
     """A candidate without its lead-in; null if it reads like legal text or is no name by its length."""
 
     def without(name: Column, prefix: Column) -> Column:
-        begins = _let(_plain(name), lambda p: p.startswith(F.concat(prefix, F.lit(" "))) | p.startswith(F.concat(prefix, F.lit(":"))))
+        begins = text.let(_plain(name), lambda p: p.startswith(F.concat(prefix, F.lit(" "))) | p.startswith(F.concat(prefix, F.lit(":"))))
         return F.when(begins, F.ltrim(F.substring(name, F.length(prefix) + 1, F.length(name)), F.lit(" :"))).otherwise(name)
 
+    def bare(name: Column) -> Column:
+        # most names begin with no prefix at all
+        begins = _plain(name).rlike(f"^(?:{_any(NAME_PREFIXES)})[ :]")
+        return F.when(begins, F.reduce(F.array(*map(F.lit, NAME_PREFIXES)), name, without)).otherwise(name)
+
     def judged(name: Column) -> Column:
-        legal = _let(_plain(name), lambda p: F.exists(F.array(*map(F.lit, LEGAL_PHRASES)), lambda phrase: p.contains(phrase)))
-        return F.when(F.length(name).between(3, 100) & (F.size(F.split(name, " ")) <= 12) & ~legal, name)
+        fits = F.length(name).between(3, 100) & (F.size(F.split(name, " ")) <= 12)
+        return F.when(fits & ~_plain(name).rlike(_any(LEGAL_PHRASES)), name)
+
+    unled = text.let(F.trim(F.regexp_replace(c, r"\s+", " ")), bare)
+    return text.let(F.trim(F.regexp_replace(unled, r"^[A-Za-z]?[0-9]{7,8}[A-Za-z]?[ .,:;-]+", ""), F.lit(" ,:;-")), judged)
 
-    bare = F.reduce(F.array(*map(F.lit, NAME_PREFIXES)), F.trim(F.regexp_replace(c, r"\s+", " ")), without)
-    return _let(F.trim(F.regexp_replace(bare, r"^[A-Za-z]?[0-9]{7,8}[A-Za-z]?[ .,:;-]+", ""), F.lit(" ,:;-")), judged)
+
+def _parts(line: Column, marks: str) -> Column:
+    """A line parted at a pattern, which is read once a task and not anew for each line."""
+    return F.split(F.regexp_replace(line, marks, "\n"), "\n")
 
 
 def company_names(body: Column) -> Column:
@@ -85,13 +98,12 @@ def company_names(body: Column) -> Column:
 
     def found(lines: Column) -> Column:
         def labelled(line: Column) -> Column:
-            label = _let(_plain(F.substring_index(line, ":", 1)), lambda head: F.exists(F.array(*map(F.lit, NAME_LABELS)), lambda w: head.contains(w)))
+            label = _plain(F.substring_index(line, ":", 1)).rlike(_any(NAME_LABELS))
             said = F.regexp_replace(F.substring(line, F.instr(line, ":") + 1, F.length(line)), r"[;|(].*$", "")
             return F.when(line.contains(":"), F.when(label, F.split_part(said, F.lit(", "), F.lit(1))))
 
-        phrases = F.flatten(F.transform(lines, lambda line: F.split(line, r"[;:|()]|\.\s")))
-        agency = lambda x: _let(_plain(x), lambda p: F.exists(F.array(*map(F.lit, AGENCY_WORDS)), lambda w: p.contains(w)))
-        formal = F.filter(phrases, lambda x: x.rlike(r"^\s*[\p{Lu}0-9]") & (F.length(x) <= 100) & ~agency(x) & text.legal_form(x)["form"].isNotNull())
+        phrases = F.flatten(F.transform(lines, lambda line: _parts(line, r"[;:|()]|\.\s")))
+        formal = F.filter(phrases, lambda x: x.rlike(r"^\s*[\p{Lu}0-9]") & (F.length(x) <= 100) & text.has_legal_form(x) & ~_plain(x).rlike(_any(AGENCY_WORDS)))
         both = F.concat(F.array_compact(F.transform(lines, labelled)), formal)
         return F.array_compact(F.transform(both, lambda x: company_name(F.trim(x, F.lit(" .,:")))))
 
@@ -100,17 +112,23 @@ def company_names(body: Column) -> Column:
         first = F.transform(names, lambda n, i: F.when(F.array_position(small, F.lower(n)) == i + 1, n))
         return F.slice(F.array_compact(first), 1, MOST_NAMES)
 
-    return _let(_let(F.split(F.coalesce(body, F.lit("")), "\n"), found), once)
+    return text.let(text.let(F.split(F.coalesce(body, F.lit("")), "\n"), found), once)
 
 
 def registry_entry(body: Column) -> Column:
     """struct<registry, volume, folio, sheet> of a company register's entry, or null: its four labels in this order."""
-    t = F.regexp_replace(F.coalesce(body, F.lit("")), r"\s+", " ")
-    behind = lambda label, value: F.regexp_extract(t, rf"(?i)registro mercantil de .*?\b{label}[ .:º°nN]*({value})", 1)
-    place = F.trim(F.regexp_extract(t, r"Registro Mercantil de ((?:\p{Lu}\p{Ll}+|de|del|la)(?: (?:\p{Lu}\p{Ll}+|de|del|la))*)", 1))
-    volume, folio, sheet = behind("tomo", "[0-9][0-9.]*"), behind("folio", "[0-9]+"), behind("hoja", "[A-Z]{1,2}[ -]?[0-9][0-9.]*")
-    entry = F.struct(place.alias("registry"), F.rtrim(volume, F.lit(".")).alias("volume"), folio.alias("folio"), F.rtrim(F.replace(sheet, F.lit(" "), F.lit("")), F.lit(".")).alias("sheet"))
-    return F.when((place != "") & (volume != "") & (folio != "") & (sheet != ""), entry)
+
+    def told(t: Column) -> Column:
+        behind = lambda label, value: F.regexp_extract(t, rf"(?i)registro mercantil de .*?\b{label}[ .:º°nN]*({value})", 1)
+        place = F.trim(F.regexp_extract(t, r"Registro Mercantil de ((?:\p{Lu}\p{Ll}+|de|del|la)(?: (?:\p{Lu}\p{Ll}+|de|del|la))*)", 1))
+        volume, folio, sheet = behind("tomo", "[0-9][0-9.]*"), behind("folio", "[0-9]+"), behind("hoja", "[A-Z]{1,2}[ -]?[0-9][0-9.]*")
+        return F.when(t.contains("Registro Mercantil de "), F.struct(place.alias("place"), volume.alias("volume"), folio.alias("folio"), sheet.alias("sheet")))
+
+    def entry(x: Column) -> Column:
+        held = F.struct(x["place"].alias("registry"), F.rtrim(x["volume"], F.lit(".")).alias("volume"), x["folio"].alias("folio"), F.rtrim(F.replace(x["sheet"], F.lit(" "), F.lit("")), F.lit(".")).alias("sheet"))
+        return F.when((x["place"] != "") & (x["volume"] != "") & (x["folio"] != "") & (x["sheet"] != ""), held)
+
+    return text.let(text.let(F.regexp_replace(F.coalesce(body, F.lit("")), r"\s+", " "), told), entry)
 
 
 def phones(body: Column) -> Column:
@@ -134,29 +152,37 @@ def postal_codes(body: Column) -> Column:
 
 def is_person(name: Column) -> Column:
     """Two or more words beside particles, all but those with a capital, none of a page's usual words."""
-    words = F.split(name, " ")
-    own = F.filter(words, lambda w: ~w.isin(*PARTICLES))
-    shaped = F.forall(own, lambda w: w.rlike(r"^\p{Lu}\p{Ll}+$"))
-    return (F.size(own) >= 2) & (F.size(own) <= 4) & shaped & ~F.exists(words, lambda w: _plain(w).isin(*NO_PERSON))
+
+    def judged(words: Column) -> Column:
+        own = F.filter(words, lambda w: ~w.isin(*PARTICLES))
+        shaped = F.forall(own, lambda w: w.rlike(r"^\p{Lu}\p{Ll}+$"))
+        return (F.size(own) >= 2) & (F.size(own) <= 4) & shaped & ~F.exists(words, lambda w: _plain(w).isin(*NO_PERSON))
+
+    return text.let(F.split(name, " "), judged)
 
 
 def people(body: Column) -> Column:
     """Up to five array<struct<name, role>>, read line by line: 'Role: Name', 'Name - Role', 'Name, Role' or 'Name (Role)'; each name once."""
 
     def pair(line: Column) -> Column:
-        parts = F.transform(F.split(line, r"\s*[:|(),]\s*|\s+[–—-]\s+"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "), F.lit(" .)")))
-        titled = lambda x: _plain(x).isin(*TITLES)
-        both = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.struct(F.get(parts, i).alias("a"), F.get(parts, i + 1).alias("b")))
-        said = F.filter(both, lambda p: p["a"].isNotNull() & p["b"].isNotNull() & ((titled(p["a"]) & is_person(p["b"])) | (is_person(p["a"]) & titled(p["b"]))))
+        parts = F.transform(_parts(line, r"\s*[:|(),]\s*|\s+[–—-]\s+"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "), F.lit(" .)")))
+        read = F.transform(parts, lambda x: F.struct(x.alias("said"), _plain(x).isin(*TITLES).alias("titled")))
+        # most lines name no title, so nobody is looked for there
+        return text.let(read, lambda r: F.when(F.exists(r, lambda x: x["titled"]), named(r)))
+
+    def named(read: Column) -> Column:
+        both = F.transform(F.slice(read, 1, F.size(read) - 1), lambda a, i: F.struct(a.alias("a"), F.get(read, i + 1).alias("b")))
+        said = F.filter(both, lambda p: (p["a"]["titled"] & is_person(p["b"]["said"])) | (p["b"]["titled"] & is_person(p["a"]["said"])))
         shown = lambda r: F.concat(F.upper(F.left(r, F.lit(1))), F.lower(F.substring(r, 2, 100)))
-        return F.transform(said, lambda p: F.when(titled(p["a"]), F.struct(p["b"].alias("name"), shown(p["a"]).alias("role"))).otherwise(F.struct(p["a"].alias("name"), shown(p["b"]).alias("role"))))
+        told = lambda name, role: F.struct(name["said"].alias("name"), shown(role["said"]).alias("role"))
+        return F.transform(said, lambda p: F.when(p["a"]["titled"], told(p["b"], p["a"])).otherwise(told(p["a"], p["b"])))
 
     def once(found: Column) -> Column:
         names = F.transform(found, lambda p: F.lower(p["name"]))
         first = F.transform(found, lambda p, i: F.when(F.array_position(names, F.lower(p["name"])) == i + 1, p))
         return F.slice(F.array_compact(first), 1, MOST_PEOPLE)
 
-    return _let(F.flatten(F.transform(F.split(F.coalesce(body, F.lit("")), "\n"), pair)), once)
+    return text.let(F.flatten(F.array_compact(F.transform(F.split(F.coalesce(body, F.lit("")), "\n"), pair))), once)
 
 
 # What tells that a page names somebody in charge; the endings are those of either gender.
@@ -168,11 +194,11 @@ DIRECTORS, OF_DIRECTORS = ["director", "directora"], ["general", "comercial", "t
 
 def mentions_role(body: Column) -> Column:
     """Whether a page names somebody in charge, in whole words."""
-    spaced = F.regexp_replace(_plain(F.coalesce(body, F.lit(""))), r"[^a-z0-9_\s]", " | ")
+    spaced = F.regexp_replace(_plain(F.coalesce(body, F.lit(""))), r"(?!\s)\W", " | ")
     words = F.concat(F.lit(" "), F.regexp_replace(spaced, r"\s+", " "), F.lit(" "))
     asked = IN_CHARGE + [stem + end for stem, ends in IN_CHARGE_ENDED for end in ends]
     asked += [f"{who} {what}" for whos, whats in ((CHIEFS, OF_CHIEFS), (DIRECTORS, OF_DIRECTORS)) for who in whos for what in whats]
-    return text.contains_any(words, [f" {phrase} " for phrase in asked])
+    return words.rlike(f" (?:{_any(asked)}) ")
 
 
 def legal_data(body: Column) -> Column:
@@ -196,11 +222,11 @@ def legal_data(body: Column) -> Column:
             (lacking | (F.size(t["numbers"]) > 1) | (t["roles"] & (F.size(t["people"]) == 0))).alias("needs_model"),
         )
 
-    parts = F.struct(
-        numbers(body).alias("numbers"), company_names(body).alias("names"), registry_entry(body).alias("registry"), phones(body).alias("phones"),
-        emails(body).alias("emails"), postal_codes(body).alias("codes"), people(body).alias("people"), mentions_role(body).alias("roles"),
+    parts = lambda b: F.struct(
+        numbers(b).alias("numbers"), company_names(b).alias("names"), registry_entry(b).alias("registry"), phones(b).alias("phones"),
+        emails(b).alias("emails"), postal_codes(b).alias("codes"), people(b).alias("people"), mentions_role(b).alias("roles"),
     )
-    return _let(parts, told)
+    return text.let(text.let(body, parts), told)
 
 
 def overlaid(rules: dict[str, Column], model: dict[str, Column]) -> dict[str, Column]:

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tessera.functions import ident
+from tessera.functions import ident, site
 from tessera.operators import matching, resolution
 from tessera.operators.graph import components
 from tessera.operators.joins import tiled_join
@@ -85,3 +85,9 @@ def test_values_of_lambdas_are_computed_once(spark):
         assert mentions(f, mark) == 1, f.__name__
     spelt = plan(texts.select(ident.privacy_mailbox(F.col("s")).alias("x")))
     assert spelt.count("lower(") == 1
+
+
+def test_texts_of_sites_are_made_plain_once(spark):
+    texts = spark.range(1).select(F.col("id").cast("string").alias("s"))
+    assert plan(texts.select(site.mentions_role(F.col("s")).alias("x"))).count("translate(") == 1
+    assert plan(texts.select(site.registry_entry(F.col("s")).alias("x"))).count("coalesce(") <= 1
