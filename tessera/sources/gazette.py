@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import norm_text
+from tessera.functions.text import SPACES, let, norm_text
 
 # The words by which the gazette's text names kinds of acts, plain and in small letters;
 # those of WHOLE_WORDS count as whole words only.
@@ -56,35 +56,33 @@ def _after(body: Column, *labels: str) -> Column:
 
 def _until(text: Column, headings: list[str]) -> Column:
     """A section's text up to the first sentence that begins with another section's heading."""
-    end = F.regexp_instr(text, F.lit(rf"[.][\s-]*(?:{'|'.join(headings)})\b"))
+    end = F.regexp_instr(text, F.lit(rf"[.][{SPACES}-]*(?:{'|'.join(headings)})\b"))
     return F.when(end > 0, F.left(text, end - 1)).otherwise(F.regexp_replace(text, r"[.]\s*$", ""))
 
 
 def _postal_code(address: Column, before_town: Column) -> Column:
     """Five digits (a full stop may part the first two) that stand behind a label, or else at the end."""
     whole = F.regexp_replace(F.upper(address), r"\b([0-9]{2})[.]([0-9]{3})\b", "$1$2")
-    words = F.split(F.regexp_replace(F.regexp_replace(whole, r"(?<=[A-ZÓ])[.:]+", " "), r"\b(CP)(?=[0-9])", "$1 "), r"[\s:]+")
+    # one sign between words: parting at a longer pattern would read that anew for each row
+    words = F.split(F.regexp_replace(F.regexp_replace(F.regexp_replace(whole, r"(?<=[A-ZÓ])[.:]+", " "), r"\b(CP)(?=[0-9])", "$1 "), rf"[:{SPACES}]+", " "), " ")
 
     def labelled(w: Column, i: Column, held: Column) -> Column:
         one, two = F.get(held, i - 1), F.get(held, i - 2)
         return w.rlike("^[0-9]{5}(?![0-9A-Z])") & ((one == "CP") | ((one == "P") & (two == "C")) | ((one == "POSTAL") & two.isin("CODIGO", "CÓDIGO")))
 
-    marked = F.flatten(F.transform(F.array(words), lambda held: F.filter(F.transform(held, lambda w, i: F.when(labelled(w, i, held), F.left(w, F.lit(5)))), lambda x: x.isNotNull())))
-    last = F.element_at(F.split(F.rtrim(F.regexp_replace(before_town, r"([0-9]{2})[.]([0-9]{3})", "$1$2"), F.lit(" ,-")), "[^0-9]"), -1)
-    return F.coalesce(F.get(marked, F.lit(0)), F.when(F.length(last) == 5, last))
+    marked = let(words, lambda held: F.filter(F.transform(held, lambda w, i: F.when(labelled(w, i, held), F.left(w, F.lit(5)))), lambda x: x.isNotNull()))
+    end = F.regexp_extract(F.rtrim(F.regexp_replace(before_town, r"([0-9]{2})[.]([0-9]{3})", "$1$2"), F.lit(" ,-")), r"(?<![0-9])([0-9]{5})\z", 1)
+    return F.coalesce(F.get(marked, F.lit(0)), _blank_null(end))
 
 
 def _people(body: Column) -> Column:
     """array<struct<name, role>>: a sentence of names behind a role, in the order of ROLES."""
     # the full stops of the roles' abbreviations end no sentence
     spelt = F.regexp_replace(F.regexp_replace(body, r"\bAdm\.\s*", "Adm "), r"(Adm (?:Solid|Mancom))\.", "$1")
-    ended = F.split(spelt, "[.]")
-    said = F.transform(
-        F.slice(ended, F.lit(1), F.size(ended) - 1),
-        lambda x: F.struct(F.regexp_replace(F.rtrim(F.substring_index(x, ":", 1)), r"\s+", " ").alias("head"), F.substring(x, F.instr(x, ":") + 1, F.length(x)).alias("names")),
-    )
-    held = F.filter(said, lambda x: F.length(x["names"]) > 0)
-    return F.flatten(F.array(*[_named(held, role, title) for role, title in ROLES.items()]))
+    parted = lambda x: F.struct(F.regexp_replace(F.rtrim(F.substring_index(x, ":", 1)), r"\s+", " ").alias("head"), F.substring(x, F.instr(x, ":") + 1, F.length(x)).alias("names"))
+    said = let(F.split(spelt, r"\."), lambda ended: F.transform(F.slice(ended, F.lit(1), F.size(ended) - 1), parted))
+    # read once for all roles
+    return let(F.filter(said, lambda x: F.length(x["names"]) > 0), lambda held: F.flatten(F.array(*[_named(held, role, title) for role, title in ROLES.items()])))
 
 
 def _named(held: Column, role: str, title: str) -> Column:

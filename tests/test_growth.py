@@ -9,6 +9,7 @@ from tessera.operators import matching, resolution
 from tessera.operators.graph import components
 from tessera.operators.joins import tiled_join
 from tessera.plans.queries import QUERIES
+from tessera.sources import gazette
 
 SF = "/root/testdata/sf0.001"
 
@@ -91,3 +92,8 @@ def test_texts_of_sites_are_made_plain_once(spark):
     texts = spark.range(1).select(F.col("id").cast("string").alias("s"))
     assert plan(texts.select(site.mentions_role(F.col("s")).alias("x"))).count("translate(") == 1
     assert plan(texts.select(site.registry_entry(F.col("s")).alias("x"))).count("coalesce(") <= 1
+
+
+def test_sentences_of_acts_are_read_once(spark):
+    said = gazette.act_fields(F.col("body"))["people"]
+    assert plan(spark.range(1).select(F.col("id").cast("string").alias("body")).select(said.alias("x"))).count("Adm (?:Solid") == 1
